@@ -7,10 +7,11 @@ from pyspark.sql import Column, functions as F
 from timberline import constants as K
 from timberline.functions.text import blank_to_null, lookup, squeeze
 
-_CLOCK = r"^\d{4}-\d{1,2}-\d{1,2}(?:\s+\d{1,2}:\d{1,2}:\d{1,2}(?:[.,]\d{1,6})?|T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)$"
-_SYSLOG = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
-_ACCESS = r"^\d{1,2}/[A-Za-z]{3}/\d{4}:\d{1,2}:\d{1,2}:\d{1,2}\s+[+-]\d{4}$"
-_WINDOWS = r"(?i)^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+[AP]M$"
+_CLOCK = (r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:\s+\d{1,2}:\d{1,2}:\d{1,2}(?:[.,]\d{1,6})?"
+          r"|T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)Z?\s*$")
+_SYSLOG = r"^\s*[A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\s*$"
+_ACCESS = r"^\s*\d{1,2}/[A-Za-z]{3}/\d{4}:\d{1,2}:\d{1,2}:\d{1,2}\s+[+-]\d{4}\s*$"
+_WINDOWS = r"(?i)^\s*\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+[AP]M\s*$"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
 
 
@@ -35,16 +36,15 @@ def parse_timestamp(c: Column, default_year: int = 1900) -> Column:
 
     Year-less syslog stamps get ``default_year``; stamps with an offset become UTC.
     """
-    raw = F.regexp_replace(F.trim(c), "Z$", "")
-    clock = F.translate(F.regexp_replace(raw, "T", " "), ",", ".")
+    clock = F.translate(c, "T,Z", " .")
     return (
-        F.when(raw.rlike(_CLOCK), squeeze(clock).try_cast("timestamp_ntz"))
-        .when(raw.rlike(_SYSLOG),
-              _naive(F.concat(F.lit(f"{default_year} "), F.initcap(squeeze(raw))),
+        F.when(c.rlike(_CLOCK), squeeze(clock).try_cast("timestamp_ntz"))
+        .when(c.rlike(_SYSLOG),
+              _naive(F.concat(F.lit(f"{default_year} "), F.initcap(squeeze(c))),
                      "yyyy MMM d H:m:s"))
-        .when(raw.rlike(_ACCESS),
-              _utc(F.try_to_timestamp(squeeze(raw), F.lit("d/MMM/yyyy:H:m:s Z"))))
-        .when(raw.rlike(_WINDOWS), _naive(F.upper(squeeze(raw)), "M/d/yyyy h:m:s a"))
+        .when(c.rlike(_ACCESS),
+              _utc(F.try_to_timestamp(squeeze(c), F.lit("d/MMM/yyyy:H:m:s Z"))))
+        .when(c.rlike(_WINDOWS), _naive(F.upper(squeeze(c)), "M/d/yyyy h:m:s a"))
     )
 
 

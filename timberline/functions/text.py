@@ -32,7 +32,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def lit_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    # split of a constant folds to one literal and keeps plan building short
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -130,9 +131,11 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def lookup(c: Column, table: dict[str, object]) -> Column:
-    """A literal map lookup."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), c)
+    """A literal map lookup, null for an unknown key."""
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
+    found = F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f")), c)
+    sample = next(iter(table.values()))
+    return found if isinstance(sample, str) else found.cast("int" if isinstance(sample, int) else "double")
 
 
 def severity_rank(c: str | Column) -> Column:

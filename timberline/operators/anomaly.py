@@ -127,9 +127,14 @@ def with_features(entries: DataFrame) -> DataFrame:
     return entries.withColumns(values)
 
 
-def zscore_outliers(featured: DataFrame, cutoff: float = 2.0) -> DataFrame:
-    """stat_score from the largest absolute z-score over the features."""
-    stats = featured.agg(F.struct(
+def zscore_outliers(featured: DataFrame, cutoff: float = 2.0,
+                    batch: DataFrame | None = None) -> DataFrame:
+    """stat_score from the largest absolute z-score over the features.
+
+    ``batch`` holds the same rows with a shorter lineage, for the batch statistics.
+    """
+    source = featured if batch is None else batch
+    stats = source.agg(F.struct(
         F.count("*").alias("n"),
         *[F.avg(f).alias(f"m_{f}") for f in K.FEATURES],
         *[F.stddev_pop(f).alias(f"s_{f}") for f in K.FEATURES],
@@ -177,12 +182,13 @@ def evaluate_anomalies(entries: DataFrame, window_seconds: int = K.SPIKE_WINDOW_
     """Entries with all three scores and the verdict; ``forest`` adds the ML score."""
     from timberline.operators.forest import isolation_forest
 
+    batch = with_features(entries)
     featured = with_features(rule_engine(entries, window_seconds, threshold, timed))
     if forest:
-        featured = isolation_forest(featured)
+        featured = isolation_forest(featured, batch=batch)
     else:
         featured = featured.withColumn("ml_score", F.lit(0.0))
-    verdict = combine_scores(zscore_outliers(featured))
+    verdict = combine_scores(zscore_outliers(featured, batch=batch))
     return verdict.select(
         *entries.columns, "is_anomaly", "confidence", "anomaly_type", "rule_score", "ml_score",
         "stat_score", "details")

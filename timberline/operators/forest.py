@@ -87,16 +87,18 @@ def grow_forest(featured: DataFrame, trees: int = K.FOREST_TREES, sample: int =
 
 
 def isolation_forest(featured: DataFrame, trees: int = K.FOREST_TREES, sample: int = K.FOREST_SAMPLE,
-                     seed: int = K.FOREST_SEED, min_rows: int = K.FOREST_MIN_ROWS) -> DataFrame:
-    """Add ml_score in 0-1, 1 for the most anomalous row; 0 for batches that are too small."""
-    if featured.select("line_number").limit(min_rows).count() < min_rows:
-        return featured.withColumn("ml_score", F.lit(0.0))
-    forest = featured.sparkSession.sparkContext.broadcast(grow_forest(featured, trees, sample, seed))
-    n_sample = sample
-    first = forest.value[0] if forest.value else None
-    if first is None:
+                     seed: int = K.FOREST_SEED, min_rows: int = K.FOREST_MIN_ROWS,
+                     batch: DataFrame | None = None) -> DataFrame:
+    """Add ml_score in 0-1, 1 for the most anomalous row; 0 for batches that are too small.
+
+    ``batch`` holds the same rows with a shorter lineage, for growing the trees.
+    """
+    source = featured if batch is None else batch
+    size = source.select("line_number").limit(max(min_rows, sample)).count()
+    if size < min_rows:
         return featured.withColumn("ml_score", F.lit(0.0))
-    scale = _average_path(n_sample)
+    forest = featured.sparkSession.sparkContext.broadcast(grow_forest(source, trees, sample, seed))
+    scale = _average_path(min(size, sample))
 
     @pandas_udf("double")
     def raw_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -106,7 +108,7 @@ def isolation_forest(featured: DataFrame, trees: int = K.FOREST_TREES, sample: i
 
     point = F.struct(*K.FEATURES)
     # the score range needs each distinct feature vector only once
-    span = (featured.select(*K.FEATURES).distinct().select(raw_score(point).alias("s"))
+    span = (source.select(*K.FEATURES).distinct().select(raw_score(point).alias("s"))
             .agg(F.struct(F.min("s").alias("low"), F.max("s").alias("high")))).scalar()
     width = F.col("_span.high") - F.col("_span.low")
     score = F.when(width < 1e-10, 0.0).otherwise((F.col("_raw") - F.col("_span.low")) / width)

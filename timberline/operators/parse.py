@@ -49,43 +49,42 @@ def _captured(text: Column, name: str) -> Column:
 
 def parse_as(lines: DataFrame, name: str) -> DataFrame:
     """Parse every line with one format; lines that do not match are dropped."""
-    parts = lines.withColumn("_p", _captured(F.col("text"), name)).filter(F.col("_p").isNotNull())
-    return parts.select("file", "line_number", *_fields())
-
-
-def _fields(default_year: int = 1900) -> list[Column]:
-    """Typed fields out of the captured slots."""
-    def slot(name: str) -> Column:
-        return T.blank_to_null(F.element_at("_p", _SLOTS.index(name) + 1))
-
-    message = F.coalesce(slot("message"), F.col("text"))
-    return [
-        F.col("text").alias("raw"),
-        L.parse_timestamp(slot("ts"), default_year).alias("timestamp"),
-        L.normalize_level(slot("level")).alias("log_level"),
-        message.alias("message"),
-        F.coalesce(slot("source"), F.lit("")).alias("source"),
-        F.coalesce(slot("ip"), T.first_ip(message)).alias("ip_address"),
-        F.nullif(slot("user"), F.lit("-")).alias("username"),
-        F.coalesce(slot("code"), T.error_code(message)).alias("error_code"),
-        F.element_at("_p", len(_SLOTS) + 1).alias("log_type"),
-    ]
-
-
-def _json_fields(default_year: int = 1900) -> list[Column]:
-    m = F.col("_j")
+    captured = lines.withColumn("_p", _captured(F.col("text"), name)).filter(F.col("_p").isNotNull())
+    return _typed(_slots(captured), 1900)
+
+
+def _slots(captured: DataFrame) -> DataFrame:
+    """The captured parts as columns of their own, so later steps do not repeat the pattern."""
+    return captured.select(
+        "file", "line_number", F.col("text").alias("raw"),
+        *[T.blank_to_null(F.get("_p", F.lit(i))).alias(s) for i, s in enumerate(_SLOTS)],
+        F.get("_p", F.lit(len(_SLOTS))).alias("log_type"))
+
+
+def _typed(slots: DataFrame, default_year: int) -> DataFrame:
+    """Final types and fallbacks. IP and code are searched in the message of regex formats."""
+    read = slots.withColumn("message", F.coalesce("message", "raw"))
+    searched = ~F.col("log_type").isin("json", "UNCLASSIFIED")
+    return read.select(
+        "file", "line_number", "raw",
+        L.parse_timestamp(F.col("ts"), default_year).alias("timestamp"),
+        L.normalize_level(F.col("level")).alias("log_level"),
+        "message",
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("ip", F.when(searched, T.first_ip("message"))).alias("ip_address"),
+        F.when(~(searched & (F.col("user") == "-")), F.col("user")).alias("username"),
+        F.coalesce("code", F.when(searched, T.error_code("message"))).alias("error_code"),
+        "log_type")
+
+
+def _json_parts(fields: Column) -> Column:
+    """The same slots out of a JSON object."""
     names = K.INLINE_JSON_KEYS
-    return [
-        F.col("text").alias("raw"),
-        L.parse_timestamp(L.first_key(m, names["timestamp"]), default_year).alias("timestamp"),
-        L.normalize_level(L.first_key(m, names["level"])).alias("log_level"),
-        F.coalesce(T.blank_to_null(L.first_key(m, names["message"])), F.col("text")).alias("message"),
-        F.coalesce(L.first_key(m, names["source"]), F.lit("")).alias("source"),
-        L.first_filled(m, names["ip"]).alias("ip_address"),
-        L.first_filled(m, names["user"]).alias("username"),
-        L.first_filled(m, names["code"]).alias("error_code"),
-        F.lit("json").alias("log_type"),
-    ]
+    return F.array(
+        L.first_key(fields, names["timestamp"]), L.first_key(fields, names["level"]),
+        L.first_key(fields, names["message"]), L.first_key(fields, names["source"]),
+        L.first_filled(fields, names["ip"]), L.first_filled(fields, names["user"]),
+        L.first_filled(fields, names["code"]), F.lit("json"))
 
 
 def _with_json(lines: DataFrame) -> DataFrame:
@@ -95,8 +94,8 @@ def _with_json(lines: DataFrame) -> DataFrame:
 
 def parse_inline_json(lines: DataFrame) -> DataFrame:
     """Lines holding one JSON object."""
-    return (_with_json(lines).filter(F.col("_j").isNotNull())
-            .select("file", "line_number", *_json_fields()))
+    read = _with_json(lines).filter(F.col("_j").isNotNull())
+    return _typed(_slots(read.withColumn("_p", _json_parts(F.col("_j")))), 1900)
 
 
 def parse_entries(lines: DataFrame, detected: DataFrame | None = None,
@@ -107,28 +106,20 @@ def parse_entries(lines: DataFrame, detected: DataFrame | None = None,
     with the format detected for their file, or with the first matching format when
     none was detected; what matches nothing is UNCLASSIFIED.
     """
-    lines = lines.select("file", "line_number", T.clip("text", K.MAX_LINE_CHARS).alias("text"))
     if detected is None:
         detected = detect_format(lines)
+    lines = lines.select("file", "line_number", T.clip("text", K.MAX_LINE_CHARS).alias("text"))
     sizes = lines.groupBy("file").agg(F.count("*").alias("file_lines"))
     known = attach(lines, sizes.join(detected, "file", "left"), ["file"], "file_lines")
     text = F.col("text")
-    by_format = F
+    by_format = F.when(F.col("_j").isNotNull(), _json_parts(F.col("_j")))
     for name in _FORMATS:
         by_format = by_format.when(F.col("detected") == name, _captured(text, name))
-    anything = F.coalesce(*[_captured(text, name) for name in _FORMATS])
-    captured = F.when(F.col("_j").isNull(), by_format.when(F.col("detected").isNull(), anything))
-    ready = _with_json(known).withColumn("_p", captured)
-    names = ["raw", "timestamp", "log_level", "message", "source", "ip_address", "username",
-             "error_code", "log_type"]
-    plain = dict(zip(names, _fields(default_year)))
-    json = dict(zip(names, _json_fields(default_year)))
-    unread = {
-        "raw": text, "message": text, "source": F.lit(""), "log_level": F.lit("UNKNOWN"),
-        "log_type": F.lit("UNCLASSIFIED"),
-    }
-    out = []
-    for n in names:
-        pick = F.when(F.col("_j").isNotNull(), json[n]).when(F.col("_p").isNotNull(), plain[n])
-        out.append((pick.otherwise(unread[n]) if n in unread else pick).alias(n))
-    return ready.select("file", "line_number", *out)
+    # no detected format: the first format that matches
+    open_choice = F.col("detected").isNull()
+    for name in _FORMATS:
+        by_format = by_format.when(open_choice & text.rlike(_FORMATS[name][0]), _captured(text, name))
+    unread = F.array(*[F.lit("UNCLASSIFIED") if i == len(_SLOTS) else F.lit(None).cast("string")
+                       for i in range(len(_SLOTS) + 1)])
+    ready = _with_json(known).withColumn("_p", F.coalesce(by_format, unread))
+    return _typed(_slots(ready), default_year)

@@ -8,20 +8,23 @@ from timberline import constants as K
 from timberline.functions import text as T
 
 
-def frequency_scores(entries: DataFrame) -> DataFrame:
-    """Share of errors in the batch, doubled, with a boost for error rows."""
+def frequency_scores(entries: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """Share of errors in the batch, doubled, with a boost for error rows.
+
+    ``batch`` holds the same rows with a shorter lineage, for the two counts.
+    """
     is_error = F.col("log_level").isin("ERROR", "CRITICAL")
-    batch = entries.agg(F.struct(
+    counts = (entries if batch is None else batch).agg(F.struct(
         F.count("*").alias("total"), F.count_if(is_error).alias("errors"))).scalar()
     base = T.clamp(F.col("_batch.errors") / F.col("_batch.total") * 2.0)
     return (
-        entries.withColumn("_batch", batch)
+        entries.withColumn("_batch", counts)
         .withColumn("frequency_score", F.when(is_error, T.clamp(base + 0.2)).otherwise(base))
         .drop("_batch")
     )
 
 
-def severity_scores(scored: DataFrame) -> DataFrame:
+def severity_scores(scored: DataFrame, batch: DataFrame | None = None) -> DataFrame:
     """severity, severity_score and breakdown for rows that carry ``confidence``."""
     w = K.SEVERITY_WEIGHTS
     level_base = F.coalesce(T.lookup(F.col("log_level"), K.LEVEL_BASE), F.lit(0.2))
@@ -30,7 +33,7 @@ def severity_scores(scored: DataFrame) -> DataFrame:
     for severity, cut in K.SEVERITY_CUTS:
         name = name.when(score >= cut, severity)
     return (
-        frequency_scores(scored).withColumn("level_base", level_base)
+        frequency_scores(scored, batch).withColumn("level_base", level_base)
         .withColumn("_score", T.clamp(
             w["level"] * F.col("level_base") + w["frequency"] * F.col("frequency_score")
             + w["anomaly"] * F.col("confidence")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from timberline.plans import parsing, scoring, timing
+from timberline.plans import causes, parsing, scoring, timing
 
-_MODULES = [parsing, scoring, timing]
+_MODULES = [parsing, scoring, timing, causes]
 QUERIES = {k: fn for m in _MODULES for k, fn in m.QUERIES.items()}
 ORACLES = {k: text for m in _MODULES for k, text in m.ORACLES.items()}

@@ -52,14 +52,40 @@ def with_carried(cells: DataFrame, order: list[str], value: Column, name: str) -
             .withColumn(name, F.coalesce(name, "_before")).drop("_before", "_value"))
 
 
-def with_index(cells: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """Add the 0-based position of each row in the whole order."""
-    size = cells.groupBy("_cell").agg(F.count("*").alias("_n"))
+def with_running_sum(cells: DataFrame, order: list[str], weight: Column, name: str) -> DataFrame:
+    """Add the sum of ``weight`` over all rows up to and including each row."""
+    size = cells.groupBy("_cell").agg(F.sum(weight).alias("_n"))
     earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = size.select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inner = cells.withColumn(name, F.row_number().over(_inside(order)).cast("bigint"))
-    return (_join_carry(inner, carry)
-            .withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_before"))
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = cells.withColumn(name, F.sum(weight).over(upto))
+    return _join_carry(inner, carry).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
+def with_index(cells: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """Add the 0-based position of each row in the whole order."""
+    counted = with_running_sum(cells, order, F.lit(1).cast("bigint"), name)
+    return counted.withColumn(name, F.col(name) - 1)
+
+
+def percentiles(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row of exact, linearly interpolated percentiles p95, p99, ...
+
+    Values are reduced to counts first; the running count over the ordered values finds
+    the two neighbours of every percentile without bringing the values together.
+    """
+    counts = (values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"))
+              .agg(F.count("*").alias("n")))
+    summed = with_running_sum(order_cells(counts, ["v"]), ["v"], F.col("n"), "upto")
+    total = summed.agg(F.max("upto")).scalar()
+    picks = []
+    for p in shares:
+        k = (total - 1) * F.lit(p)
+        low = F.floor(k)
+        a = F.min(F.when(F.col("upto") >= low + 1, F.col("v")))
+        b = F.min(F.when(F.col("upto") >= F.least(low + 2, total), F.col("v")))
+        picks.append((a + F.max(k - low) * (b - a)).alias(f"p{round(p * 100)}"))
+    return summed.agg(*picks)
 
 
 def with_key_index(cells: DataFrame, order: list[str], key: list[str],

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from timberline.plans import causes, dashboards, parsing, scoring, signals, timing
+from timberline.plans import causes, dashboards, files, parsing, scoring, signals, timing
 
-_MODULES = [parsing, scoring, timing, causes, dashboards, signals]
+_MODULES = [parsing, scoring, timing, causes, dashboards, signals, files]
 QUERIES = {k: fn for m in _MODULES for k, fn in m.QUERIES.items()}
 ORACLES = {k: text for m in _MODULES for k, text in m.ORACLES.items()}

@@ -14,9 +14,20 @@ from timberline.session import cut
 
 
 def order_cells(df: DataFrame, order: list[str]) -> DataFrame:
-    """Freeze a range partitioning of ``df`` by ``order``; the key must be unique."""
+    """Freeze a range partitioning of ``df`` by ``order``; the key must be unique.
+
+    Small inputs end up in one cell; the column then says so, and the scans leave out
+    the step that carries values across cells.
+    """
     ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-    return cut(ranged.withColumn("_cell", F.spark_partition_id()))
+    frozen = cut(ranged.withColumn("_cell", F.spark_partition_id()))
+    alone = frozen.rdd.getNumPartitions() == 1
+    marked = F.col("_cell").alias("_cell", metadata={"alone": alone})
+    return frozen.select(*[c for c in frozen.columns if c != "_cell"], marked)
+
+
+def _alone(cells: DataFrame) -> bool:
+    return bool(cells.schema["_cell"].metadata.get("alone"))
 
 
 def _inside(order: list[str]):
@@ -32,6 +43,8 @@ def with_previous(cells: DataFrame, order: list[str], columns: list[str],
                   name: str = "prev") -> DataFrame:
     """Add a struct of ``columns`` of the preceding row in the whole order."""
     row = F.struct(*columns)
+    if _alone(cells):
+        return cells.withColumn(name, F.lag(row).over(_inside(order)))
     last = cells.groupBy("_cell").agg(F.max_by(row, F.struct(*order)).alias("_last"))
     carry = last.select("_cell", F.lag("_last").over(Window.orderBy("_cell")).alias("_before"))
     inner = cells.withColumn(name, F.lag(row).over(_inside(order)))
@@ -41,12 +54,14 @@ def with_previous(cells: DataFrame, order: list[str], columns: list[str],
 
 def with_carried(cells: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """Add the latest non-null ``value`` up to and including each row."""
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    if _alone(cells):
+        return cells.withColumn(name, F.last(value, ignorenulls=True).over(upto))
     valued = cells.withColumn("_value", value)
     key = F.when(F.col("_value").isNotNull(), F.struct(*order))
     last = valued.groupBy("_cell").agg(F.max_by("_value", key).alias("_last"))
     earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select("_cell", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
-    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = valued.withColumn(name, F.last("_value", ignorenulls=True).over(upto))
     return (_join_carry(inner, carry)
             .withColumn(name, F.coalesce(name, "_before")).drop("_before", "_value"))
@@ -54,10 +69,12 @@ def with_carried(cells: DataFrame, order: list[str], value: Column, name: str) -
 
 def with_running_sum(cells: DataFrame, order: list[str], weight: Column, name: str) -> DataFrame:
     """Add the sum of ``weight`` over all rows up to and including each row."""
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    if _alone(cells):
+        return cells.withColumn(name, F.sum(weight).over(upto))
     size = cells.groupBy("_cell").agg(F.sum(weight).alias("_n"))
     earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = size.select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = cells.withColumn(name, F.sum(weight).over(upto))
     return _join_carry(inner, carry).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
@@ -91,6 +108,9 @@ def percentiles(values: DataFrame, column: str, shares: list[float]) -> DataFram
 def with_key_index(cells: DataFrame, order: list[str], key: list[str],
                    name: str = "index") -> DataFrame:
     """Add the 0-based position inside each key, where ``key`` is a prefix of ``order``."""
+    inside = Window.partitionBy("_cell", *key).orderBy(*order)
+    if _alone(cells):
+        return cells.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
     size = cells.groupBy("_cell", *key).agg(F.count("*").alias("_n"))
     # only the first key of a cell can have begun in an earlier cell
     edge = cells.groupBy("_cell").agg(
@@ -108,7 +128,6 @@ def with_key_index(cells: DataFrame, order: list[str], key: list[str],
     run = run.withColumn("_sum", F.sum("_n").over(Window.partitionBy("_run").orderBy("_cell")))
     carry = run.select(
         "_cell", F.lag("_tail").over(by_cell).alias("_key"), F.lag("_sum").over(by_cell).alias("_before"))
-    inside = Window.partitionBy("_cell", *key).orderBy(*order)
     inner = cells.withColumn(name, F.row_number().over(inside).cast("bigint"))
     same = F.col("_key") == F.struct(*key)
     return (_join_carry(inner, carry)

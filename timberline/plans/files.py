@@ -252,20 +252,19 @@ def _(spark, d):
 
 
 def _time_files(spark, d, name, rows: DataFrame, column: str) -> str:
-    """Rows as parquet files in time order, so that a stream meets them in that order."""
+    """Rows as parquet files for a stream."""
     return _once(spark, d, name, lambda p: rows.repartitionByRange(4, column).write.parquet(p))
 
 
-def _ordered_stream(spark, path) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _row_stream(spark, path) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 @query("stream_alerts")
 def _(spark, d):
     path = _time_files(spark, d, "alert-rows", R.reports(spark, d).select(
         "timestamp", "file", "line_number", "severity", "message"), "timestamp")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = _row_stream(spark, path)
     fired = _drain(sa.stream_alerts(stream, SG._RULES), spark, "alerts")
     return fired.select("rule", F.col("second").cast("timestamp_ntz").alias("second"), "matches")
 
@@ -279,17 +278,38 @@ ORACLES["stream_alerts"] = SG.ORACLES["alert_cooldown"].replace(
 @query("stream_counts")
 def _(spark, d):
     events = _time_files(spark, d, "event-rows", V.entries(spark, d).select("timestamp", "file", "line_number"), "timestamp")
-    spikes = _drain(sc.spike_windows(_ordered_stream(spark, events), 3600, R.THRESHOLD), spark, "spikes")
-    return spikes.filter("count > 0")
+    spikes = _drain(sc.spike_windows(_row_stream(spark, events), 3600, R.THRESHOLD), spark, "spikes")
+    return spikes
+
+
+# a window is given out once the watermark, ten minutes behind the newest row, has passed it
+_DONE = "<= (select max(ts) - interval 10 minutes from events)"
+ORACLES["stream_counts"] = f"""with c as (select time_bucket(interval 1 hour, ts) as start, count(*) as count from events group by 1)
+select start, start + interval 1 hour as "end", count, count >= {R.THRESHOLD} as is_spike from c where start + interval 1 hour {_DONE}"""
 
 
 @query("stream_requests")
 def _(spark, d):
     path = _time_files(spark, d, "request-rows", V.requests(spark, d), "ts")
-    return _drain(sc.sliding_requests(_ordered_stream(spark, path), "1 hour", "30 minutes"), spark, "requests")
+    return _drain(sc.sliding_requests(_row_stream(spark, path), "1 hour", "30 minutes"), spark, "requests").withColumn(
+        "avg_latency_ms", F.round("avg_latency_ms", 6)).drop("p95_latency_ms")
+
+
+ORACLES["stream_requests"] = f"""with e as (select *, event_type = 'error' as bad from events),
+w as (select time_bucket(interval 30 minutes, ts) as start, * from e union all
+ select time_bucket(interval 30 minutes, ts) - interval 30 minutes, * from e)
+select start, start + interval 1 hour as "end", count(*) as requests, count(*) filter (bad) as failed, round(avg(value), 6) as avg_latency_ms,
+ max(value) as max_latency_ms from w where start + interval 1 hour {_DONE} group by start"""
 
 
 @query("stream_sessions")
 def _(spark, d):
     path = _time_files(spark, d, "anomaly-rows", R.anomalies(spark, d).select("timestamp", "template"), "timestamp")
-    return _drain(sc.session_groups(_ordered_stream(spark, path), 1800), spark, "sessions")
+    return _drain(sc.session_groups(_row_stream(spark, path), 1800), spark, "sessions")
+
+
+ORACLES["stream_sessions"] = f"""with {R.SQL_ANOMALIES}, sp as (select template, timestamp, lag(timestamp) over (partition by template order by timestamp) as pts from v_anom),
+sf as (select *, sum(case when pts is not null and epoch_us(timestamp) - epoch_us(pts) < 1800 * 1000000 then 0 else 1 end)
+ over (partition by template order by timestamp) as run from sp)
+select template, min(timestamp) as start, max(timestamp) as "end", count(*) as event_count from sf group by template, run
+ having max(timestamp) + interval 1800 seconds <= (select max(timestamp) - interval 10 minutes from v_anom)"""

@@ -9,12 +9,21 @@ from timberline import constants as K
 LATE = "10 minutes"
 
 
+def _clocked(rows: DataFrame, column: str, late: str) -> DataFrame:
+    """Watermarks need an instant; naive UTC times are taken as such."""
+    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
+
+
+def _naive(c: str):
+    return F.col(c).cast("timestamp_ntz")
+
+
 def spike_windows(entries: DataFrame, seconds: int = K.SPIKE_WINDOW_SECONDS,
                   threshold: int = K.SPIKE_THRESHOLD, late: str = LATE) -> DataFrame:
     """Tumbling windows with their count and whether it is a spike."""
-    counts = (entries.withWatermark("timestamp", late)
+    counts = (_clocked(entries, "timestamp", late)
               .groupBy(F.window("timestamp", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("count")))
-    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "count",
+    return counts.select(_naive("w.start").alias("start"), _naive("w.end").alias("end"), "count",
                          (F.col("count") >= threshold).alias("is_spike"))
 
 
@@ -22,17 +31,17 @@ def sliding_requests(requests: DataFrame, window: str = "5 minutes", slide: str
                      late: str = LATE) -> DataFrame:
     """Requests, failures and latencies over sliding windows; percentiles are approximate here."""
     ms = F.col("duration_ms")
-    rows = (requests.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"))
+    rows = (_clocked(requests, "ts", late).groupBy(F.window("ts", window, slide).alias("w"))
             .agg(F.count("*").alias("requests"), F.count_if(~F.col("success")).alias("failed"),
                  F.avg(ms).alias("avg_latency_ms"), F.max(ms).alias("max_latency_ms"),
                  F.percentile_approx(ms, 0.95).alias("p95_latency_ms")))
-    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests", "failed",
+    return rows.select(_naive("w.start").alias("start"), _naive("w.end").alias("end"), "requests", "failed",
                        "avg_latency_ms", "max_latency_ms", "p95_latency_ms")
 
 
 def session_groups(anomalies: DataFrame, gap_seconds: int = 300, late: str = LATE) -> DataFrame:
     """Sessions of one template separated by pauses."""
-    groups = (anomalies.withWatermark("timestamp", late)
+    groups = (_clocked(anomalies, "timestamp", late)
               .groupBy("template", F.session_window("timestamp", f"{gap_seconds} seconds").alias("w"))
               .agg(F.count("*").alias("event_count"), F.max("timestamp").alias("end")))
-    return groups.select("template", F.col("w.start").alias("start"), "end", "event_count")
+    return groups.select("template", _naive("w.start").alias("start"), _naive("end").alias("end"), "event_count")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from timberline.functions import timing as M
 from timberline.operators.ordered import order_cells, with_carried, with_previous
 from timberline.operators.templates import with_template
+from timberline.session import cut
 
 ORDER = ["timestamp", "file", "line_number"]
 
@@ -89,7 +90,8 @@ def correlated_templates(timed: DataFrame, minutes: int = 15, seeds: int = 50) -
     window = max(minutes * 2, 30)
     if 60 % window:
         window = 60
-    seen = timed.select(M.time_bucket("timestamp", window).alias("slot"), "template").distinct()
+    # distinct windows per template: small beside the rows, and read several times
+    seen = cut(timed.select(M.time_bucket("timestamp", window).alias("slot"), "template").distinct())
     spread = seen.groupBy("template").agg(F.count("*").alias("n"))
     head = spread.orderBy(F.col("n").desc(), "template").limit(seeds).select("template")
     few = seen.join(F.broadcast(head), "template")  # at most `seeds` templates per window

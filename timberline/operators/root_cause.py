@@ -156,7 +156,7 @@ def _cells(df: DataFrame, width: int, pad: float) -> DataFrame:
 
 
 def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _MIN_SCORE,
-                     width: int = 3600) -> DataFrame:
+                     width: int = 900) -> DataFrame:
     """Band join: scored pairs of an event and another one that comes after it in turn.
 
     Both sides are cut into time cells and met cell by cell; a pair is kept in the one
@@ -174,7 +174,7 @@ def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _M
     ).filter(F.col("score") >= min_score)
 
 
-def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int = 3600) -> DataFrame:
+def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int = 900) -> DataFrame:
     """Events that no earlier leader absorbs, taken in order of confidence.
 
     Leaders are decided in rounds. An undecided event that comes first among the
@@ -183,24 +183,27 @@ def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int
     with at most one leader per cell and never lists the pairs of a cell. State between
     rounds is checkpointed.
     """
-    open_events = cut(events)
-    leaders: DataFrame | None = None
     pad = _reach(min_score) / 2 + 0.001
-    while not open_events.isEmpty():
-        placed = _cells(_prepared(open_events), width, pad).select("event_id", "turn", "cell")
+    # untimed events are near nothing and lead themselves
+    state = cut(events.withColumn("_lead", F.when(F.col("start").isNull(), True)))
+    while True:
+        waiting = state.filter("_lead is null")
+        if waiting.isEmpty():
+            return state.filter("_lead").drop("_lead")
+        placed = _cells(_prepared(waiting), width, pad).select("event_id", "turn", "cell")
         head = placed.groupBy("cell").agg(F.min("turn").alias("head"))
         first = (placed.join(head, "cell").groupBy("event_id")
-                 .agg(F.min((F.col("turn") == F.col("head")).cast("int")).alias("ok")).filter("ok = 1"))
-        untimed = open_events.filter("start is null").select("event_id")
-        won = cut(open_events.join(first.select("event_id").unionByName(untimed), "event_id", "left_semi"))
-        taken = correlate_events(won, open_events, min_score, width).select("event_id").distinct()
-        leaders = won if leaders is None else leaders.unionByName(won)
-        open_events = cut(open_events.join(won, "event_id", "left_anti").join(taken, "event_id", "left_anti"))
-    return events.limit(0) if leaders is None else leaders
+                 .agg(F.min(F.col("turn") == F.col("head")).alias("ok")).filter("ok").select("event_id"))
+        won = waiting.join(first, "event_id", "left_semi")
+        taken = correlate_events(won, waiting, min_score, width).select("event_id").distinct()
+        decided = first.select("event_id", F.lit(True).alias("_now")).unionByName(
+            taken.select("event_id", F.lit(False).alias("_now")))
+        state = cut(state.join(decided, "event_id", "left")
+                    .withColumn("_lead", F.coalesce("_lead", "_now")).drop("_now"))
 
 
 def cascade_map(events: DataFrame, leaders: DataFrame, min_score: float = _MIN_SCORE,
-                width: int = 3600) -> DataFrame:
+                width: int = 900) -> DataFrame:
     """(event_id, leader_id): every event with the first leader that absorbs it, or itself."""
     owned = (correlate_events(leaders, events, min_score, width).groupBy("event_id")
              .agg(F.min_by("leader_id", "leader_turn").alias("leader_id")))

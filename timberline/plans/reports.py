@@ -22,8 +22,8 @@ def fresh_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
-    """The stored reports, as the dashboards find them."""
-    return V.stored(spark, d, "reports", fresh_reports)
+    """The stored reports, as the dashboards find them; templates are extracted once."""
+    return V.stored(spark, d, "reports", lambda s, p: templates.with_template(fresh_reports(s, p)))
 
 
 def explained(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +39,7 @@ def anomalies(spark: SparkSession, d: str) -> DataFrame:
 _KW = S.hits("lower(message)", K.CRITICAL_KEYWORDS)
 _FKW = S.hits("lower(message)", K.FEATURE_KEYWORDS)
 _ERR = "log_level in ('ERROR', 'CRITICAL')"
-SQL_RULES = f"""{V.SQL_ENTRIES},
-w as (select *, cast(floor((epoch_us(timestamp) - (select min(epoch_us(timestamp)) from v_entries)) / 1e6 / {WINDOW}) as bigint) as spike_window,
+_RULES_TAIL = f"""w as (select *, cast(floor((epoch_us(timestamp) - (select min(epoch_us(timestamp)) from v_entries)) / 1e6 / {WINDOW}) as bigint) as spike_window,
  case when {_ERR} then lower({S.strip('substring(message, 1, 100)')}) end as repeat_key, {_KW} as kw from v_entries),
 wc as (select *, count(*) over (partition by spike_window) as wn, count(*) over (partition by repeat_key) as rn from w),
 cand as (select *,
@@ -56,6 +55,7 @@ v_rules as (select *, coalesce(greatest(c1, c2, c3, c4, c5), 0e0) as rule_score,
  concat_ws('; ', case when c1 is not null then t1 end, case when c2 is not null then t2 end, case when c3 is not null then t3 end,
  case when c4 is not null then 'Log level is CRITICAL' end, case when c5 is not null then 'Log level is ERROR' end) as rule_details
  from cand)"""
+SQL_RULES = f"{V.SQL_ENTRIES}, {_RULES_TAIL}"
 SQL_FEATURES = f"""coalesce(hour(timestamp) / 23e0, 0.5e0) as f_hour,
  {S.case_map('log_level', K.FEATURE_LEVELS, '0.3::double')} as f_level, least(ln(1e0 + length(message)) / 10e0, 1e0) as f_length,
  least(len(regexp_extract_all(message, '\\S+')) / 50e0, 1e0) as f_words, least(len({_FKW}) / 5e0, 1e0) as f_keywords,
@@ -67,15 +67,15 @@ _Z = "greatest(" + ", ".join(
 SQL_ZSCORES = f"""f as (select *, {SQL_FEATURES} from v_rules), st as (select {_STAT} from f),
 z as (select f.*, {_Z} as max_z from f, st),
 v_stat as (select *, case when max_z < 2 then 0e0 else {S.clamp('1e0 - 1e0 / (1e0 + (max_z - 2))')} end as stat_score from z)"""
-SQL_SCORED = f"""{SQL_RULES}, {SQL_ZSCORES},
+_SCORED_TAIL = f"""{SQL_ZSCORES},
 v_comb as (select *, {S.clamp('0.4e0 * rule_score + 0.3e0 * 0e0 + 0.3e0 * stat_score')} as confidence from v_stat),
 v_scored as (select *, rule_type is not null or stat_score > 0.5e0 or confidence > 0.45e0 as is_anomaly,
  case when rule_type is not null and rule_score >= stat_score then rule_type when stat_score > 0.3e0 then 'statistical_outlier'
  else coalesce(rule_type, 'none') end as anomaly_type,
  concat_ws('; ', case when rule_details <> '' then 'Rule: ' || rule_details end,
  case when stat_score > 0.2e0 then printf('Z-score deviation: %.2f', stat_score) end) as details from v_comb)"""
-SQL_REPORTS = f"""{SQL_SCORED},
-b as (select count(*) as total, count(*) filter ({_ERR}) as errors from v_entries),
+SQL_SCORED = f"{SQL_RULES}, {_SCORED_TAIL}"
+_REPORTS_TAIL = f"""b as (select count(*) as total, count(*) filter ({_ERR}) as errors from v_entries),
 fr as (select v_scored.*, {S.case_map('log_level', K.LEVEL_BASE, '0.2::double')} as level_base,
  case when {_ERR} then {S.clamp(S.clamp('errors / total * 2e0') + ' + 0.2e0')} else {S.clamp('errors / total * 2e0')} end as frequency_score
  from v_scored, b),
@@ -83,6 +83,13 @@ sv as (select *, {S.clamp('0.35e0 * level_base + 0.25e0 * frequency_score + 0.4e
 v_reports as (select *, case when raw_score >= 0.8e0 then 'CRITICAL' when raw_score >= 0.6e0 then 'HIGH'
  when raw_score >= 0.35e0 then 'MEDIUM' else 'LOW' end as severity, round(raw_score, 4) as severity_score from sv)"""
 
+SQL_REPORTS = f"{SQL_SCORED}, {_REPORTS_TAIL}"
+
+
+def sql_reports_over(entries_sql: str) -> str:
+    """The reports of other entries: the SQL given has to define v_entries."""
+    return f"{entries_sql}, {_RULES_TAIL}, {_SCORED_TAIL}, {_REPORTS_TAIL}"
+
 
 def _text(column: int, as_list: bool) -> str:
     """The explanation text of a row's type with its placeholders filled."""

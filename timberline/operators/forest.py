@@ -63,15 +63,23 @@ def grow_forest(featured: DataFrame, trees: int = K.FOREST_TREES, sample: int =
                 seed: int = K.FOREST_SEED) -> list[np.ndarray]:
     """One tree per group, each on ``sample`` rows drawn by hash from a bounded pool.
 
-    The pool is the ``trees * sample`` rows with the smallest hash, found by a top-k, so
-    its size does not grow with the data; the draws do not depend on partitioning.
+    The pool is the ``trees * sample`` rows with the smallest hash, so its size does not
+    grow with the data and the draws do not depend on partitioning. Rows that cannot be
+    among the smallest are dropped before the top-k: with n rows a share of 2 * pool / n
+    by hash is kept. Each tree sees about four times its sample and takes the first rows
+    of it in hash order.
     """
     key = ["file", "line_number"]
-    pool = (featured.select(*key, *K.FEATURES)
-            .withColumn("_h", F.xxhash64(F.lit(seed), *key))
-            .orderBy("_h", *key).limit(trees * sample))
+    pool_size = trees * sample
+    total = featured.agg(F.count("*")).scalar()
+    spot = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000_007)) / 1_000_000_007.0
+    pool = (featured.select(*key, *K.FEATURES).withColumn("_h", spot)
+            .filter(F.col("_h") * total <= 2.0 * pool_size)
+            .orderBy("_h", *key).limit(pool_size))
     numbered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    numbered = numbered.withColumn("_d", F.xxhash64(F.lit(seed), "tree", *key))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "tree", *key), F.lit(1_000_000_007)) / 1_000_000_007.0
+    numbered = numbered.withColumn("_d", drawn).filter(
+        F.col("_d") * F.least(total, F.lit(pool_size)) <= 4.0 * sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

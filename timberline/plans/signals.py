@@ -194,7 +194,7 @@ def _(spark, d):
 
 @query("chunk_logs")
 def _(spark, d):
-    return ch.chunk_logs(V.log_lines(spark, d), SIZE)
+    return ch.chunk_logs(V.log_lines(spark, d), SIZE).select(*_BASE)
 
 
 ORACLES["chunks_error_density"] = f"with {_IDX}, {_J5} select {_CC} from j5"
@@ -208,6 +208,11 @@ un as (select file, idx, row_number() over (partition by file order by idx) - 1
 select file, 'normal' as chunk_type, cast(1 as integer) as priority, min(idx) as start_index, max(idx) as end_index, count(*) as line_count,
  null::bigint as error_count from un group by file, u // {SIZE}"""
 
+ORACLES["chunk_logs"] = f"""with {_MERGED},
+un as (select file, idx, row_number() over (partition by file order by idx) - 1 as u from x
+ where not exists (select 1 from a8 t where t.file = x.file and idx between t.start_index and t.end_index))
+select * from a8 union all select file, 'normal', cast(1 as integer), min(idx), max(idx), count(*), null::bigint from un group by file, u // {SIZE}"""
+
 
 # --- alerts -------------------------------------------------------------------------
 _RULES = al.DEFAULT_RULES + [al.AlertRule("Medium rows", "MEDIUM", None, 7200), al.AlertRule("Off", "LOW", None, 1, False)]

@@ -245,8 +245,8 @@ ORACLES["parse_timestamp"] = f"""select event_id, case event_id % 7 when 0 then
 def _(spark, d):
     t = V.DIALECTS["spark"]
     ev = V.table(spark, d, "events").selectExpr(
-        "event_id", f"""case event_id % 5 when 0 then cast(unix_micros(cast(ts as timestamp)) div 1000 as string)
- when 1 then cast(unix_micros(cast(ts as timestamp)) div 1000000 as string)
+        "event_id", f"""case event_id % 5 when 0 then cast(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000 as string)
+ when 1 then cast(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000000 as string)
  when 2 then '"' || {t['iso_ts']} || 'Z"' when 3 then '"' || date_format(ts, 'yyyy-MM-dd HH:mm:ss') || '"'
  else 'true' end as value""")
     obj = L.json_map(F.concat(F.lit('{"ts": '), "value", F.lit("}")))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, functions as F
 
 from timberline.functions.text import col
 
 
+def naive(moment: datetime) -> Column:
+    """A naive UTC time as literal, independent of the session zone."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def epoch_micros(c: str | Column) -> Column:
     """Microseconds since 1970 of a naive timestamp, independent of the session zone."""
     return F.timestamp_diff(

@@ -26,9 +26,9 @@ def _matching(reports: DataFrame, query: str | None, severity: str | None, start
     if severity:
         reports = reports.filter(F.col("severity") == severity)
     if start:
-        reports = reports.filter(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        reports = reports.filter(F.col("timestamp") >= M.naive(start))
     if end:
-        reports = reports.filter(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+        reports = reports.filter(F.col("timestamp") <= M.naive(end))
     if query:
         reports = reports.filter(F.col("message").ilike(f"%{query}%"))
     return reports

@@ -13,7 +13,7 @@ from timberline.functions import text as T, timing as M
 def reference(rows: DataFrame, reference_time: datetime | None, column: str = "timestamp") -> Column:
     """The end of the period: given, or the latest timestamp of the rows."""
     if reference_time is not None:
-        return F.lit(reference_time).cast("timestamp_ntz")
+        return M.naive(reference_time)
     return rows.agg(F.max(column)).scalar()
 
 

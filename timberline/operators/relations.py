@@ -31,7 +31,7 @@ def relationship_groups(reports: DataFrame, minutes: int = 10, n: int = 30) -> D
     title = F.when(parts != "", F.concat(F.lit("Relationship group: "), parts)).otherwise("Relationship group")
     top = groups.orderBy(size.desc(), "seen").limit(n)
     place = F.row_number().over(Window.orderBy(size.desc(), "seen"))  # at most n rows
-    return top.select(place.alias("group_id"), title.alias("title"), *_KEYS, "size",
+    return top.select(place.cast("bigint").alias("group_id"), title.alias("title"), *_KEYS, "size",
                       F.round(F.least(F.lit(1.0), 0.35 + size * 0.1), 3).alias("confidence"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -76,7 +77,8 @@ class Encoder(dict):
         got = self._words.get(word)
         if got is None:
             letters = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode()))
-            got = np.array([t.id for t in self._model.tokenize(letters)], "<u4").tobytes()
+            ids = [t.id for t in self._model.tokenize(letters)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
             self._words[word] = got
         return got
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import packing
+from timberline.llm import packing, token_files
 from timberline.llm.common import table
+from timberline.session import scratch_dir
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark.read.parquet(path))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_token_files)}
 ORACLES: dict[str, str] = {}

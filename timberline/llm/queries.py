@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import packing, token_files
-from timberline.llm.common import table
+from timberline.llm import langid, packing, token_files, toxicity
+from timberline.llm.common import remainder, table
 from timberline.session import scratch_dir
 
 
@@ -13,11 +13,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, model, "doc_id", held_out.alias("held_out"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
     return token_files.read(spark.read.parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_token_files)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    learn = remainder("doc_id", 5) != 0
+    model = toxicity.train(docs.filter(learn), table(spark, sf_dir, "labels").filter(learn))
+    return toxicity.predict(docs, model, "doc_id", held_out.alias("held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op7_token_files, op8_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import langid, packing, token_files, toxicity
+from timberline.llm import hnsw, langid, packing, token_files, topk, toxicity
 from timberline.llm.common import remainder, table
 from timberline.session import scratch_dir
 
@@ -34,5 +34,29 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model, "doc_id", held_out.alias("held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op7_token_files, op8_toxicity)}
-ORACLES: dict[str, str] = {}
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op7_token_files, op8_toxicity,
+                                op9_nearest_neighbours, op10_exact_top_k)}
+ORACLES: dict[str, str] = {
+    "op10_exact_top_k": """
+with good as (
+    select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+    select a.vec_id as query_id, b.vec_id,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+    from good a join good b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from pairs qualify rank <= 5""",
+}

@@ -111,6 +111,8 @@ def _connect(graph: Graph, level: int, new: np.ndarray, nodes: np.ndarray, sims:
     wide[:, :most] = graph.links[level][ends]
     place = np.arange(len(target)) - np.repeat(first, count)
     wide[np.repeat(np.arange(len(ends)), count), most + place] = source
+    wide.sort(axis=1)  # two new nodes may have chosen each other
+    wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = -1
     near = np.where(wide < 0, -np.inf, (graph.points[np.maximum(wide, 0)] @ graph.points[ends][:, :, None])[:, :, 0])
     order = np.argsort(-near, axis=1, kind="stable")[:, :most + 32]
     wide, near = np.take_along_axis(wide, order, 1), np.take_along_axis(near, order, 1)

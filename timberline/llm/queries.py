@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import hnsw, langid, packing, token_files, topk, toxicity
+from timberline.llm import hnsw, langid, neardup, packing, token_files, topk, toxicity
 from timberline.llm.common import remainder, table
 from timberline.session import scratch_dir
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -44,8 +48,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op7_token_files, op8_toxicity,
-                                op9_nearest_neighbours, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_language_id, op7_token_files,
+                                op8_toxicity, op9_nearest_neighbours, op10_exact_top_k)}
 ORACLES: dict[str, str] = {
     "op10_exact_top_k": """
 with good as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLY = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], np.uint32)
@@ -34,14 +34,13 @@ def ngrams(text: str, lengths: tuple[int, ...], bits: int) -> np.ndarray:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most about ``per_label`` rows of each label: those with the smallest hash of id and text.
+    """About ``per_label`` rows of each label, or all where there are fewer, by a hash of id and text.
 
-    Only hashes are ranked, and the cut is one number per label, so texts are not shuffled. The
-    number of labels must be small, as it is for classes. Adds ``_draw``, the hash.
+    Rows of each label are counted, and a row is drawn if its hash falls into the share that gives the
+    wanted number, so nothing is ranked and texts are not shuffled. The number of labels must be small,
+    as it is for classes. Adds ``_draw``, the hash.
     """
-    drawn = rows.withColumn("_draw", F.xxhash64("doc_id", "text"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw"))
-    cuts = (drawn.select(label, "_draw").withColumn("_rank", rank).filter(F.col("_rank") <= per_label)
-            .groupBy(label).agg(F.max("_draw").alias("_cut")))
-    # one row per label
-    return drawn.join(F.broadcast(cuts), label).filter("_draw <= _cut").drop("_cut")
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    drawn = rows.withColumn("_draw", F.xxhash64("doc_id", "text")).join(F.broadcast(counts), label)  # one row per label
+    place = F.shiftrightunsigned("_draw", 24)  # 40 bits
+    return drawn.filter(place.cast("double") * F.col("_n") < F.lit(float(per_label) * 2.0 ** 40)).drop("_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import hnsw, langid, lengths, neardup, packing, substrings, token_files, topk, toxicity
+from timberline.llm import hnsw, langid, lengths, neardup, packing, sentencepieces, substrings, token_files, topk, toxicity
 from timberline.llm.common import remainder, table
 from timberline.session import scratch_dir
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(sentencepieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -56,7 +60,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_language_id, op5_suffix_dedup, op6_token_counts, op7_token_files,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_minhash_near_dedup, op4_language_id,
+                                op5_suffix_dedup, op6_token_counts, op7_token_files,
                                 op8_toxicity, op9_nearest_neighbours, op10_exact_top_k)}
 ORACLES: dict[str, str] = {
     "op10_exact_top_k": """

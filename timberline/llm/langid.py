@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timberline.llm.common import map_rows
+from timberline.llm.common import map_rows, spread
 from timberline.llm.features import bounded_sample, ngrams
 
 LENGTHS = (1, 2, 3)
@@ -70,7 +70,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return total if len(total) else np.zeros((1 << BITS) + 1, np.int64)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, features: int, epochs: int = 2,
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, features: int, epochs: int = 4,
          alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> np.ndarray:
     """Follow the regularised leader with elastic-net penalties, one row after the other.
 
@@ -114,11 +114,11 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, per_language: int = 3000, shards: int = 8, min_documents: int = 2) -> Model | None:
+def train(docs: DataFrame, per_language: int = 3000, per_shard: int = 1500, min_documents: int = 2) -> Model | None:
     """Fit on the rows of ``docs`` that have a text and a lang; None if there are none.
 
     Document frequencies are counted over all of them. The regression is fitted on a sample of about
-    ``per_language`` rows of each language (a documented bound): ``shards`` tasks fit one part each
+    ``per_language`` rows of each language (a documented bound): tasks fit about ``per_shard`` rows each
     and their weights are averaged; a tenth of the sample is kept out and sets the temperature.
     """
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
@@ -126,7 +126,9 @@ def train(docs: DataFrame, per_language: int = 3000, shards: int = 8, min_docume
     if not df[-1]:
         return None
     idf = np.where(df[:-1] >= min_documents, np.log((1 + df[-1]) / (1 + df[:-1])) + 1, 0.0)
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())  # a few classes
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a few classes
+    langs = sorted(counts)
+    shards = spread(sum(min(n, per_language) for n in counts.values()), per_shard)
     number = {lang: i for i, lang in enumerate(langs)}
 
     def featurise(batches: Iterator[list[list]]) -> Iterator[dict]:

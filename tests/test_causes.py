@@ -134,3 +134,14 @@ def test_normal_chunks_cover_exactly_the_rest(many_cells):
                                        "file string, start_index long, end_index long")
     got = chunks.normal_chunks(chunks.index_lines(lines), spans, 30).orderBy("start_index").collect()
     assert [(r["start_index"], r["end_index"], r["line_count"]) for r in got] == [(0, 45, 30), (46, 75, 30), (76, 89, 14)]
+
+
+def test_distant_groups_are_decided_at_once(spark, monkeypatch):
+    """Groups of equal confidence out of each other's reach don't wait for each other."""
+    rows = [(f"e{i:03}", "t", "d", T0 + timedelta(seconds=300 * i), T0 + timedelta(seconds=300 * i + 5), 0.5, "LOW", "a b", 2, "f", i)
+            for i in range(200)]
+    events = spark.createDataFrame(rows, EVENTS)
+    rounds = []
+    monkeypatch.setattr(rc, "correlate_events", lambda *a, f=rc.correlate_events: rounds.append(1) or f(*a))
+    assert rc.cascade_leaders(events).count() == 200
+    assert len(rounds) <= 2

@@ -54,3 +54,25 @@ def test_attach_serves_hot_and_cold_keys(spark):
     want = rows.join(stats, "key", "left").select("file", "line_number", "key", "n")
     assert got.count() == rows.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_attach_spreads_null_keys(many_cells):
+    """Rows that can't match don't meet in one partition, even without a broadcast join."""
+    spark = many_cells
+    rows = spark.range(40_000).selectExpr(
+        "'f' as file", "id as line_number", "case when id % 20 = 0 then concat('k', id % 4000) end as key").repartition(5)
+    stats = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions",
+                                             "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # no key is hot, so all matches are made in the shuffle join
+        out = skew.attach(rows, stats, ["key"], "n", hot_keys=1)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert out.filter("key is not null and n is null").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / 16

@@ -66,13 +66,15 @@ def root_causes(sized: DataFrame, total: Column) -> DataFrame:
     timed = F.col("timestamp").isNotNull()
     early = F.col("place") < F.floor(F.col("event_count") / 2)
     summary = F.struct("place", "summary")
+    # at most three summaries per group; apart, so that the other aggregates stay plain ones
+    told = (sized.filter("place < 3").groupBy("event_id").agg(F.array_sort(F.collect_list(summary)).alias("s"))
+            .withColumnRenamed("event_id", "_id"))
     groups = sized.groupBy("event_id").agg(
         F.first("template").alias("template_pattern"), F.first("event_count").alias("event_count"),
         F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.max(rank).alias("rank"),
         F.avg(F.when(timed & early, rank)).alias("a"), F.avg(F.when(timed & ~early, rank)).alias("b"),
-        # at most three summaries per group
-        F.array_sort(F.collect_list(F.when(F.col("place") < 3, summary))).alias("s"),
         F.min(F.when(F.col("place") == 0, F.struct("file", "line_number"))).alias("first_row"))
+    groups = groups.join(told, groups["event_id"] == told["_id"], "left")
     n = F.col("event_count")
     escalated = F.coalesce(F.col("b") > F.col("a") + 0.5, F.lit(False))
     density = F.least(n / F.greatest(total, F.lit(1)), F.lit(1.0))
@@ -156,7 +158,7 @@ def _cells(df: DataFrame, width: int, pad: float) -> DataFrame:
 
 
 def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _MIN_SCORE,
-                     width: int = 900) -> DataFrame:
+                     width: int = 90) -> DataFrame:
     """Band join: scored pairs of an event and another one that comes after it in turn.
 
     Both sides are cut into time cells and met cell by cell; a pair is kept in the one
@@ -174,26 +176,34 @@ def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _M
     ).filter(F.col("score") >= min_score)
 
 
-def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int = 900) -> DataFrame:
+def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int = 90,
+                    depth: int = 8) -> DataFrame:
     """Events that no earlier leader absorbs, taken in order of confidence.
 
-    Leaders are decided in rounds. An undecided event that comes first among the
-    undecided ones in every time cell it touches is a leader; it then absorbs its later
-    neighbours. There is one new leader per cell and round, so a round joins every event
-    with at most one leader per cell and never lists the pairs of a cell. State between
-    rounds is checkpointed.
+    Leaders are decided in rounds. An undecided event waits only for earlier undecided ones that
+    would absorb it: in every time cell it touches (cells are about as wide as pairs can reach) it
+    is scored against the ``depth`` first. It is a leader if it is among or right behind
+    them in all its cells and none absorbs it; it then absorbs its later neighbours. So events out
+    of each other's reach, or in reach but unlike, are decided in the same round, a round joins
+    an event with at most ``depth`` others per cell, and the pairs of a cell are never listed.
+    State between rounds is checkpointed.
     """
     pad = _reach(min_score) / 2 + 0.001
     # untimed events are near nothing and lead themselves
     state = cut(events.withColumn("_lead", F.when(F.col("start").isNull(), True)))
+    in_turn = Window.partitionBy("cell").orderBy("turn")
     while True:
         waiting = state.filter("_lead is null")
         if waiting.isEmpty():
             return state.filter("_lead").drop("_lead")
-        placed = _cells(_prepared(waiting), width, pad).select("event_id", "turn", "cell")
-        head = placed.groupBy("cell").agg(F.min("turn").alias("head"))
-        first = (placed.join(head, "cell").groupBy("event_id")
-                 .agg(F.min(F.col("turn") == F.col("head")).alias("ok")).filter("ok").select("event_id"))
+        placed = cut(_cells(_prepared(waiting), width, pad))
+        heads = placed.withColumn("_place", F.row_number().over(in_turn)).filter(F.col("_place") <= depth)
+        behind = placed.join(heads.select("event_id", "cell"), ["event_id", "cell"], "left_anti").select("event_id")
+        absorbed = (
+            heads.alias("a").join(placed.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.turn") < F.col("b.turn")))
+            .filter(pair_score("a", "b") >= min_score).select(F.col("b.event_id").alias("event_id")))
+        first = cut(placed.select("event_id").distinct()
+                    .join(behind.unionByName(absorbed), "event_id", "left_anti"))
         won = waiting.join(first, "event_id", "left_semi")
         taken = correlate_events(won, waiting, min_score, width).select("event_id").distinct()
         decided = first.select("event_id", F.lit(True).alias("_now")).unionByName(
@@ -203,7 +213,7 @@ def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int
 
 
 def cascade_map(events: DataFrame, leaders: DataFrame, min_score: float = _MIN_SCORE,
-                width: int = 900) -> DataFrame:
+                width: int = 90) -> DataFrame:
     """(event_id, leader_id): every event with the first leader that absorbs it, or itself."""
     owned = (correlate_events(leaders, events, min_score, width).groupBy("event_id")
              .agg(F.min_by("leader_id", "leader_turn").alias("leader_id")))

@@ -119,11 +119,14 @@ def test_runs_across_cells(many_cells):
     assert gap["evidence"]["gap_seconds"] == str(2 * 3600 - 39)
 
 
-def test_a_returning_date_drops_its_earlier_lines(many_cells):
+def test_a_returning_date_is_a_chunk_of_its_own(many_cells):
     texts = ["2024-01-01 ERROR a"] * 12 + ["2024-01-02 ok"] * 12 + ["2024-01-01 ERROR b", "undated"] * 6
     lines = many_cells.createDataFrame([("f", i + 1, t) for i, t in enumerate(texts)],
                                        "file string, line_number long, text string")
     got = chunks.temporal_chunks(chunks.index_lines(lines.repartition(3))).collect()
+    all_chunks = [(r["label"], r["start_index"], r["end_index"], r["line_count"]) for r in got]
+    assert sorted(all_chunks) == [("2024-01-01", 0, 11, 12), ("2024-01-01", 24, 35, 12)]
+    got = chunks.temporal_chunks(chunks.index_lines(lines), last_only=True).collect()
     assert [(r["label"], r["start_index"], r["end_index"], r["line_count"]) for r in got] == [("2024-01-01", 24, 35, 12)]
 
 

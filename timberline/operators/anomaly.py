@@ -58,10 +58,10 @@ def sequential_spikes(entries: DataFrame, threshold: int = K.SPIKE_THRESHOLD) ->
     return _spike_columns(sized, F.col("spike_count"), threshold)
 
 
-def repeated_errors(entries: DataFrame, min_repeats: int = 3) -> DataFrame:
-    """ERROR and CRITICAL rows whose message start recurs."""
+def repeated_errors(entries: DataFrame, min_repeats: int = 3, width: int | None = None) -> DataFrame:
+    """ERROR and CRITICAL rows whose message recurs, or with ``width`` its first characters."""
     key = F.when(F.col("log_level").isin("ERROR", "CRITICAL"),
-                 F.lower(T.strip(T.clip("message", 100))))
+                 F.lower(T.strip(T.clip("message", width) if width else F.col("message"))))
     keyed = entries.withColumn("repeat_key", key)
     counts = (keyed.filter("repeat_key is not null").groupBy("repeat_key")
               .agg(F.count("*").alias("repeat_count")).filter(F.col("repeat_count") >= min_repeats))

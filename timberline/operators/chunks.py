@@ -54,10 +54,11 @@ def component_chunks(indexed: DataFrame, min_lines: int = 5) -> DataFrame:
         (F.col("error_count") > 0) & (F.col("line_count") >= min_lines))
 
 
-def temporal_chunks(indexed: DataFrame, min_lines: int = 10) -> DataFrame:
+def temporal_chunks(indexed: DataFrame, min_lines: int = 10, last_only: bool = False) -> DataFrame:
     """Lines under one date, undated lines staying with the date above them.
 
-    When a date comes back after another one its earlier lines are dropped.
+    A date that comes back after another one makes a chunk of its own; with ``last_only`` its
+    earlier lines are dropped.
     """
     stamp = F.when(F.col("date").isNotNull(), F.struct("file", "date"))
     dated = with_carried(indexed, _ORDER, stamp, "day")
@@ -69,9 +70,10 @@ def temporal_chunks(indexed: DataFrame, min_lines: int = 10) -> DataFrame:
     islands = _chunk(
         runs.withColumn("date", F.col("day.date")).groupBy("file", "date", "since"),
         "temporal", 2, F.col("date"))
-    last = islands.groupBy("file", "label").agg(F.max("start_index").alias("start_index"))
-    return (islands.join(last, ["file", "label", "start_index"], "left_semi")
-            .filter((F.col("line_count") >= min_lines) & (F.col("error_count") > 0)))
+    if last_only:
+        last = islands.groupBy("file", "label").agg(F.max("start_index").alias("start_index"))
+        islands = islands.join(last, ["file", "label", "start_index"], "left_semi")
+    return islands.filter((F.col("line_count") >= min_lines) & (F.col("error_count") > 0))
 
 
 def merge_chunks(strategies: list[DataFrame]) -> DataFrame:

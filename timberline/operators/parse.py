@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timberline import constants as K
 from timberline.functions import fields as L, text as T
-from timberline.operators.skew import attach
 
 _SEP = "\x01"
 _SLOTS = ["ts", "level", "message", "source", "ip", "user", "code"]
@@ -22,13 +21,16 @@ def format_of(c: str | Column) -> Column:
     return out.when(text.rlike(K.JSON_LINE), F.lit("json"))
 
 
-def detect_format(lines: DataFrame, sample: int = K.DETECT_SAMPLE_LINES) -> DataFrame:
-    """(file, detected): per file, the format of most of the first lines, or null."""
-    first = Window.partitionBy("file").orderBy("line_number")
-    head = (
-        lines.select("file", "line_number", "text")
-        .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample)
-        .select("file", "line_number", format_of("text").alias("detected")))
+def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """(file, detected): per file, the format of most of its lines, or null.
+
+    All lines are counted, pre-aggregated per task; with ``sample`` only the first lines of each file.
+    """
+    head = lines.select("file", "line_number", "text")
+    if sample is not None:
+        first = Window.partitionBy("file").orderBy("line_number")
+        head = head.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample)
+    head = head.select("file", "line_number", format_of("text").alias("detected"))
     counts = head.groupBy("file", "detected").agg(
         F.count("*").alias("n"), F.min("line_number").alias("at"))
     best = counts.groupBy("file").agg(
@@ -104,13 +106,12 @@ def parse_entries(lines: DataFrame, detected: DataFrame | None = None,
 
     A JSON object is read as such whatever the file's format. Other lines are read
     with the format detected for their file, or with the first matching format when
-    none was detected; what matches nothing is UNCLASSIFIED.
+    none was detected; what matches nothing is UNCLASSIFIED. Texts stay whole.
     """
     if detected is None:
         detected = detect_format(lines)
-    lines = lines.select("file", "line_number", T.clip("text", K.MAX_LINE_CHARS).alias("text"))
-    sizes = lines.groupBy("file").agg(F.count("*").alias("file_lines"))
-    known = attach(lines, sizes.join(detected, "file", "left"), ["file"], "file_lines")
+    # one small row per file: the join is left to the optimiser, which broadcasts or splits skewed files
+    known = lines.select("file", "line_number", "text").join(detected.select("file", "detected"), "file", "left")
     text = F.col("text")
     by_format = F.when(F.col("_j").isNotNull(), _json_parts(F.col("_j")))
     for name in _FORMATS:

@@ -39,15 +39,16 @@ def line_severity_dist(lines: DataFrame) -> DataFrame:
     return row.unpivot([], names, "level", "count")
 
 
-def signal_timeline(lines: DataFrame, width: int = 10, n: int = 50) -> DataFrame:
-    """Lines and errors per leading part of the timestamp found in the line."""
+def signal_timeline(lines: DataFrame, width: int = 10, n: int | None = None) -> DataFrame:
+    """Lines and errors per leading part of the timestamp found in the line; all of them, or the first ``n``."""
     stamp = F.coalesce(*[T.blank_to_null(F.regexp_extract("text", p, 1)) for p in K.SIGNAL_TIMESTAMPS])
     is_error = _has(["ERROR", "FATAL", "CRITICAL"])
-    return (
+    out = (
         lines.select(T.clip(stamp, width).alias("time"), is_error.alias("is_error"))
         .filter("time is not null").groupBy("time")
         .agg(F.count("*").alias("total_count"), F.count_if("is_error").alias("error_count"))
-        .withColumn("error_rate", F.col("error_count") / F.col("total_count")).orderBy("time").limit(n))
+        .withColumn("error_rate", F.col("error_count") / F.col("total_count")).orderBy("time"))
+    return out if n is None else out.limit(n)
 
 
 def key_snippets(lines: DataFrame, n: int = 10) -> DataFrame:
@@ -105,9 +106,10 @@ def bracket_components(lines: DataFrame) -> DataFrame:
             .withColumn("severity", F.when(n > 5, "HIGH").when(n > 2, "MEDIUM").otherwise("LOW")))
 
 
-def evidence_lines(lines: DataFrame, first: int = 10) -> DataFrame:
-    """Lines with an error word among the first lines of each file."""
-    head = Window.partitionBy("file").orderBy("line_number")
-    return (lines.withColumn("_rn", F.row_number().over(head)).filter(F.col("_rn") <= first)
-            .filter(T.contains_any(F.lower("text"), ["error", "failed", "exception", "critical"]))
+def evidence_lines(lines: DataFrame, first: int | None = None) -> DataFrame:
+    """Lines with an error word, or with ``first`` those among the first lines of each file."""
+    if first is not None:
+        head = Window.partitionBy("file").orderBy("line_number")
+        lines = lines.withColumn("_rn", F.row_number().over(head)).filter(F.col("_rn") <= first)
+    return (lines.filter(T.contains_any(F.lower("text"), ["error", "failed", "exception", "critical"]))
             .select("file", "line_number", T.strip(F.col("text")).alias("log_line")))

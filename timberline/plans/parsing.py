@@ -106,8 +106,7 @@ def _(spark, d):
 _FORMAT_CASE = "case " + " ".join(
     f"when regexp_matches(text, {S.q(p)}) then {S.q(n)}" for n, p, _g in K.LINE_FORMATS
 ) + f" when regexp_matches(text, {S.q(K.JSON_LINE)}) then 'json' end"
-_DETECT = f"""d_head as (select file, line_number, {_FORMAT_CASE} as detected from
- (select *, row_number() over (partition by file order by line_number) as rn from v_log_lines) where rn <= 20),
+_DETECT = f"""d_head as (select file, line_number, {_FORMAT_CASE} as detected from v_log_lines),
 d_count as (select file, detected, count(*) as n, min(line_number) as first_at from d_head group by file, detected),
 d_total as (select file, sum(n) as total from d_count group by file),
 d_best as (select file, detected, n from (select *, row_number() over (partition by file order by n desc, first_at) as rn

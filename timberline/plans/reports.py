@@ -40,7 +40,7 @@ _KW = S.hits("lower(message)", K.CRITICAL_KEYWORDS)
 _FKW = S.hits("lower(message)", K.FEATURE_KEYWORDS)
 _ERR = "log_level in ('ERROR', 'CRITICAL')"
 _RULES_TAIL = f"""w as (select *, cast(floor((epoch_us(timestamp) - (select min(epoch_us(timestamp)) from v_entries)) / 1e6 / {WINDOW}) as bigint) as spike_window,
- case when {_ERR} then lower({S.strip('substring(message, 1, 100)')}) end as repeat_key, {_KW} as kw from v_entries),
+ case when {_ERR} then lower({S.strip('message')}) end as repeat_key, {_KW} as kw from v_entries),
 wc as (select *, count(*) over (partition by spike_window) as wn, count(*) over (partition by repeat_key) as rn from w),
 cand as (select *,
  case when len(kw) > 0 then {S.clamp('0.5e0 + 0.1e0 * len(kw)')} end as c1, 'Critical keywords found: ' || array_to_string(kw, ', ') as t1,

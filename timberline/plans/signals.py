@@ -58,7 +58,7 @@ def _(spark, d):
 _STAMP = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {S.q(p)}, 1), '')" for p in K.SIGNAL_TIMESTAMPS) + ")"
 ORACLES["signal_timeline"] = f"""with {V.SQL_LINES}, s as (select substring({_STAMP}, 1, 10) as time, {_E} as e from v_log_lines)
 select time, count(*) as total_count, count(*) filter (e) as error_count, round(count(*) filter (e) / count(*), 6) as error_rate
- from s where time is not null group by time order by time limit 50"""
+ from s where time is not null group by time"""
 
 
 @query("key_snippets")
@@ -117,9 +117,8 @@ def _(spark, d):
     return sg.evidence_lines(V.log_lines(spark, d))
 
 
-ORACLES["evidence_lines"] = f"""with {V.SQL_LINES}, h as (select *, row_number() over (partition by file order by line_number) as rn from v_log_lines)
-select file, line_number, {S.strip('text')} as log_line from h where rn <= 10
- and {S.any_of('lower(text)', ['error', 'failed', 'exception', 'critical'])}"""
+ORACLES["evidence_lines"] = f"""with {V.SQL_LINES}, h as (select * from v_log_lines)
+select file, line_number, {S.strip('text')} as log_line from h where {S.any_of('lower(text)', ['error', 'failed', 'exception', 'critical'])}"""
 
 
 # --- chunks -------------------------------------------------------------------------
@@ -137,8 +136,8 @@ _J6 = f"j6 as (select file, 'severity_high' as chunk_type, 4 as priority, {_AGG}
 _J7 = f"""j7 as (select file, 'component' as chunk_type, 3 as priority, {_AGG}, component from x where component is not null
  group by file, component having count(*) filter (e) > 0 and count(*) >= 5)"""
 _J8 = f"""j8i as (select file, 'temporal' as chunk_type, 2 as priority, {_AGG}, day from yyy group by file, day, since),
-j8 as (select * from j8i where (file, day, start_index) in (select (file, day, max(start_index)) from j8i group by file, day)
- and line_count >= 10 and error_count > 0)"""
+j8 as (select * from j8i where
+ line_count >= 10 and error_count > 0)"""
 _CC = "file, chunk_type, cast(priority as integer) as priority, start_index, end_index, line_count, error_count"
 
 

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberline import constants as K
 from timberline.functions import fields as L, text as T
 from timberline.operators.skew import attach
-from timberline.sources.text import accepted, scan_lines
+from timberline.session import cut
+from timberline.sources.text import scan_lines
 
 
 def json_scan(spark: SparkSession, path: str | list[str], extensions: list[str] | None = None,
-              max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+              max_bytes: int | None = None) -> DataFrame:
     """(file, line_number, text): one row per line or per array item that is an object.
 
     A file is an array when its first character is ``[``. Line numbers start at the first
-    line that is not blank. Array files are read whole, which the size limit bounds.
+    line that is not blank. An array file is one value and has to fit in a row; other files are read once,
+    line by line.
     """
     lines = scan_lines(spark, path, None, extensions, max_bytes, keep_empty=True).withColumn(
         "text", T.strip(F.col("text")))
-    opening = (
+    opening = cut(
         lines.filter("text <> ''").groupBy("file")
         .agg(F.min(F.struct("line_number", F.substring("text", 1, 1).alias("mark"))).alias("o"), F.count("*").alias("n"))
         .select("file", F.col("o.line_number").alias("first"), F.col("o.mark").alias("mark"), "n"))
     told = attach(lines, opening, ["file"], "n").filter("text <> '' and mark <> '['").select(
         "file", (F.col("line_number") - F.col("first") + 1).alias("line_number"), "text")
-    whole = (
-        spark.read.text(path, wholetext=True).filter(accepted(extensions, max_bytes))
-        .select(F.col("_metadata.file_path").alias("file"), T.strip(F.col("value")).alias("body"))
-        .filter(F.col("body").startswith("[")))
+    arrays = [unquote(r["file"]) for r in opening.filter("mark = '['").select("file").collect()]
+    if not arrays:
+        return told
+    # the names of array files go to the reader, as any list of paths does; the other files aren't opened again
+    whole = spark.read.text(arrays, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), T.strip(F.col("value")).alias("body"))
     items = whole.select("file", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "text"))
     objects = items.filter(F.col("text").startswith("{")).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("line_number"), "text")

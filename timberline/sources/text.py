@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from timberline import constants as K
 
 
-def accepted(extensions: list[str] | None = None, max_bytes: int = K.MAX_FILE_BYTES) -> Column:
-    """Which files to read, by name and size. Filters on file metadata prune the listing."""
+def accepted(extensions: list[str] | None = None, max_bytes: int | None = None) -> Column:
+    """Which files to read, by name and, on demand, by size. Filters on file metadata prune the listing."""
     name = F.lower("_metadata.file_name")
     wanted = F.lit(False)
     for ext in extensions or K.SCAN_EXTENSIONS:
         wanted = wanted | name.endswith(ext)
-    return wanted & F.col("_metadata.file_size").between(1, max_bytes)
+    size = F.col("_metadata.file_size")
+    return wanted & (size >= 1 if max_bytes is None else size.between(1, max_bytes))
 
 
 def number_lines(scanned: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def decoded(value: Column, encoding: str | None) -> Column:
 
 
 def _scan(spark: SparkSession, path: str | list[str], encoding: str | None, extensions: list[str] | None,
-          max_bytes: int) -> DataFrame:
+          max_bytes: int | None) -> DataFrame:
     return (
         spark.read.text(path).filter(accepted(extensions, max_bytes))
         .select(decoded(F.col("value"), encoding).alias("text"), F.col("_metadata.file_path").alias("file"),
@@ -49,9 +50,10 @@ def _scan(spark: SparkSession, path: str | list[str], encoding: str | None, exte
 
 
 def scan_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None,
-               extensions: list[str] | None = None, max_bytes: int = K.MAX_FILE_BYTES,
+               extensions: list[str] | None = None, max_bytes: int | None = None,
                keep_empty: bool = False) -> DataFrame:
-    """Numbered lines of the accepted files; empty lines count but are left out."""
+    """Numbered lines of the accepted files; empty lines count but are left out. Files of any size are read
+    unless ``max_bytes`` leaves larger ones out."""
     lines = number_lines(_scan(spark, path, encoding, extensions, max_bytes))
     return lines if keep_empty else lines.filter("text <> ''")
 

@@ -76,10 +76,14 @@ def test_monitor_reads_new_files_once(spark, tmp_path):
 def test_failing_batch_does_not_stop_the_stream(spark, tmp_path, monkeypatch):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text("ERROR: x\n")
-    monkeypatch.setattr(monitor, "analyse", lambda *a, **k: 1 / 0)
-    q = monitor.run_monitor(tail.dir_stream(spark, str(tmp_path / "logs")), str(tmp_path / "o"), str(tmp_path / "s"))
-    q.awaitTermination()
-    assert q.exception() is None
+    out = str(tmp_path / "o")
+    with monkeypatch.context() as m:
+        m.setattr(monitor, "analyse", lambda *a, **k: 1 / 0)
+        q = monitor.run_monitor(tail.dir_stream(spark, str(tmp_path / "logs")), out, str(tmp_path / "s"))
+        q.awaitTermination()
+        assert q.exception() is None
+    monitor.replay_failed(spark, out, 0, deep=False)  # its lines were kept
+    assert [r["log_level"] for r in spark.read.parquet(f"{out}/batch_id=0").collect()] == ["ERROR"]
 
 
 def _batches(spark, folder, frames):

@@ -153,6 +153,51 @@ def _(spark, d):
         "event_id", "title", "summary", "confidence", "severity", "event_count", "n_ips", "n_codes",
         "dominant_source", F.array_join("recommended_action", " | ").alias("actions"))
 
+# --- cascades: the greedy choice is a recursion over the events in turn -------------------
+_TURNS = f"""{_EVENTS}, evt as (select *, {S.rank('severity')} as rk, '[' || severity || '] ' ||
+ case when length(template_pattern) > 80 then substring(template_pattern, 1, 80) || '...' else template_pattern end
+ || ' (' || event_count || ' occurrences)' as title, regexp_replace(event_id, ':[0-9]+$', '') as first_file,
+ cast(regexp_extract(event_id, ':([0-9]+)$', 1) as bigint) as first_line,
+ list_distinct(list_filter(string_split_regex(lower(template_pattern), '\\s+'), lambda w: w <> '')) as ws from ev),
+tn as (select *, row_number() over (order by confidence desc, first_file, first_line) as i from evt),
+pg as (select a.i as ai, b.i as bi, a.event_id as leader_id, b.event_id as event_id, b.rk - a.rk as step,
+ (epoch_us(greatest(a.start, b.start)) - epoch_us(least(a."end", b."end"))) / 1e6 as gap,
+ len(list_intersect(a.ws, b.ws)) as shared, len(list_distinct(list_concat(a.ws, b.ws))) as union_size from tn a join tn b on a.i < b.i),
+ps as (select *, round((case when gap <= 0 then 1e0 when gap <= 120 then greatest(0e0, 1e0 - gap / 120e0) else 0e0 end) * 0.5e0
+ + (case when step > 0 then least(0.5e0, step * 0.2e0) else 0e0 end) * 0.3e0
+ + (case when union_size > 0 then round(shared / union_size * 0.3e0, 3) else 0e0 end) * 0.2e0, 3) as score from pg),
+hit as (select * from ps where score >= 0.4e0),
+by_later as (select bi, list(ai) as la from hit group by bi),
+walk as (select cast(0 as bigint) as i, cast([] as bigint[]) as leads union all
+ select w.i + 1, case when l.la is not null and list_has_any(w.leads, l.la) then w.leads else list_append(w.leads, w.i + 1) end
+ from walk w left join by_later l on l.bi = w.i + 1 where w.i < (select count(*) from tn)),
+ld as (select unnest(leads) as li from walk where i = (select count(*) from tn)),
+own as (select bi as i, min(ai) as li from hit where ai in (select li from ld) and bi not in (select li from ld) group by bi
+ union all select li, li from ld),
+cm as (select li, count(*) as groups, sum(event_count)::bigint as total, min(start) as start, max("end") as "end", max(rk) as mrk
+ from own join tn using (i) group by li),
+casc as (select t.event_id, case when groups > 1 then '[CASCADE] ' else '' end || title as title,
+ case when groups > 1 then 'Cascade of ' || groups || ' related incident groups (' || total || ' total events). ' else '' end || description as description,
+ c.start, c."end", case when groups > 1 then least(confidence + 0.1e0, 1e0) else confidence end as confidence,
+ case mrk when 3 then 'CRITICAL' when 2 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as severity, template_pattern,
+ total as event_count, first_file, first_line, groups from cm c join tn t on t.i = c.li)"""
+ORACLES["correlate_events"] = f"""with recursive {_TURNS} select leader_id, event_id, score from hit where ai in (select li from ld)"""
+ORACLES["cascades"] = f"with recursive {_TURNS} select * from casc"
+
+# entities and actions of the merged events: the same steps over members under their leader's name
+_MERGED = f"""{_TURNS}, m_mem as (select m.* exclude (event_id), l.event_id from e_mem m join tn t on m.event_id = t.event_id
+ join own o on o.i = t.i join tn l on l.i = o.li){_ENT[len(_SESS):].replace('e_mem', 'm_mem').replace('e_grp', 'casc')},
+acts as (select *, list_filter([{_STEPS},
+ 'Prioritize investigation of service/module: ' || dominant_source || '.',
+ case when n_ips > 0 then 'Observed ' || n_ips || ' distinct IP(s); review access logs and rate-limit if necessary.' end,
+ case when n_codes > 0 then 'Error tokens observed: ' || replace(codes, ',', ', ') || case when n_codes > 3 then '...' else '' end || '.' end],
+ lambda a: a is not null) as s from ent),
+rich as (select c.*, a.n_ips, a.n_codes, a.dominant_source, a.s, concat_ws(', ', case when n_ips > 0 then n_ips || ' distinct IP(s)' end,
+ case when n_codes > 0 then n_codes || ' error token(s)' end, 'source=' || dominant_source) as bits from casc c join acts a on a.event_id = c.event_id),
+told as (select *, description || case when bits <> '' then ' Observed entities: ' || bits || '.' else '' end as summary from rich)"""
+ORACLES["enriched_root_causes"] = f"""with recursive {_MERGED} select event_id, title, summary, confidence, severity, event_count,
+ n_ips, n_codes, dominant_source, array_to_string(s[1:5], ' | ') as actions from told"""
+
 
 @query("relationship_groups")
 def _(spark, d):

@@ -4,6 +4,7 @@ Exact copies (the same words in the same order) are one node from the start. Nod
 signatures are compared by the exact Jaccard similarity of their shingle sets. Groups are never paired out:
 in each bucket a few leaders are compared with the members of other classes, and rounds go on until, in
 every bucket, all members outside its largest class have been leaders, so no link between classes is lost.
+Candidates share two bands.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from timberline.llm.common import cut, map_rows, worker_state
+from timberline.llm.common import cut, map_rows, release, worker_state
 from timberline.llm.components import components
 
 _WORD = re.compile(r"\w+")
@@ -125,16 +126,21 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def _leader_pairs(members: DataFrame, leaders: int) -> DataFrame:
     """Pairs of a leader of a bucket with the bucket's members of other classes.
 
-    Leaders are the ``leaders`` first members, smallest class of the bucket first, so that few leaders
-    separate a large class from everything else.
+    Leaders are the ``leaders`` first members outside the largest class of their bucket (all members of a
+    first round are classes of one, of which the first leads). A pair is made in the first band it shares, and only
+    if it shares two: so it is made once, and what meets by chance in one band is not made at all.
     """
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("_size"))
-    ranked = members.join(sizes, ["bucket", "label"])
-    order = Window.partitionBy("bucket").orderBy("_size", "label", F.xxhash64("row", "bucket"), "row")
-    lead = (ranked.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= leaders)
-            .select("bucket", F.col("row").alias("_leader"), F.col("label").alias("_other")))
-    return (members.join(lead, "bucket").filter("label <> _other")
-            .select(F.least("row", "_leader").alias("a"), F.greatest("row", "_leader").alias("b")).distinct())
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("_size", "label")).alias("_top"), F.max("_size").alias("_most"))
+    outside = members.join(largest, "bucket").filter((F.col("label") != F.col("_top.label")) | (F.col("_most") == 1))
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("row", "bucket"), "row")
+    lead = (outside.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= leaders)
+            .select("bucket", F.col("row").alias("_leader"), F.col("label").alias("_other"), F.col("marks").alias("_marks")))
+    same = F.zip_with("marks", "_marks", lambda x, y: x == y)
+    twice = F.size(F.filter(same, lambda t: t)) >= 2
+    here = F.array_position(same, True) == F.col("band") + 1
+    met = members.join(lead, (members["bucket"] == lead["bucket"]) & (F.col("label") != F.col("_other")) & here & twice)
+    return met.select(F.least("row", "_leader").alias("a"), F.greatest("row", "_leader").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
@@ -143,20 +149,27 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
     class_id is the smallest doc_id of the near-duplicate class: documents joined by any number of links of
     Jaccard similarity of at least ``least`` between their sets of ``n``-word shingles, or by being exact copies.
     kept marks the first document of a class. Shingles weigh as often as they occur in the signatures; with
-    ``bands`` x ``rows`` registers two documents of probability Jaccard 0.8 miss each other with a chance
-    of 7 in 100 000. Texts that are null or have no word are classes of their own. Rows that repeat both id
+    ``bands`` x ``rows`` registers, two bands of which must agree, two documents of probability Jaccard 0.8 miss
+    each other with a chance of 1 in 1200, and of 0.85 with one of 1 in 70 000. Texts that are null or have no word are classes of their own. Rows that repeat both id
     and text are one document. Null ids come after all others. Other columns are not looked at.
     """
     table = cut(signatures(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()))
     copies = table.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("node"))
     first = cut(table.select("row", "bands").join(copies.select(F.col("node").alias("row")), "row", "left_semi"))
-    spread = first.select("row", F.posexplode("bands").alias("_band", "_value"))
-    bucketed = spread.select("row", F.xxhash64("_band", "_value").alias("bucket"))
+    spread = first.select("row", F.posexplode("bands").alias("band", "_value"))
+    bucketed = spread.select("row", "band", F.xxhash64("band", "_value").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = cut(bucketed.join(shared, "bucket"))
+    met = bucketed.join(shared, "bucket")
+    # rows that share one bucket alone can't be a pair that shares two
+    often = met.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+    buckets = cut(met.join(often, "row"))
     nodes = buckets.select(F.col("row").alias("node")).distinct()
     sets = cut(table.select("row", "shingles").join(nodes.select(F.col("node").alias("row")), "row", "left_semi"))
+    # 31 bits of each band tell whether two rows share it
+    marks = cut(first.join(often, "row").select(
+        "row", F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks")))
     labels = cut(nodes.select("node", F.col("node").alias("label")))
+    release(docs.sparkSession)
     links: DataFrame | None = None
     tested: DataFrame | None = None
     leaders = 1
@@ -168,7 +181,7 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
         need = spans.agg(F.max("outside")).first()[0]
         if need is None:
             break
-        open_members = cut(members.join(spans.select("bucket"), "bucket"))
+        open_members = members.join(spans.select("bucket"), "bucket").join(marks, "row")
         pairs = _leader_pairs(open_members, leaders)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -177,9 +190,10 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
         new = _similar(pairs, sets, least)
         links = cut(new if links is None else links.union(new))
         labels = components(nodes, links)
+        release(docs.sparkSession)  # the files and plans of the round
         if leaders >= need:  # every pair between classes of a bucket has been compared
             break
-        leaders *= 32
+        leaders *= 16
     found = (table.select("row", "doc_id", "text_hash", "digest").join(copies, "digest", "left")
              .withColumn("node", F.coalesce("node", "row")).join(labels, "node", "left")
              .withColumn("label", F.coalesce("label", "node")))

@@ -113,7 +113,7 @@ def test_earlier_windows_by_brute_force():
 def test_every_window_has_its_anchor_inside():
     rng = np.random.default_rng(4)
     data = bytes(rng.integers(97, 103, 3000).astype(np.uint8)) + b"a" * 200
-    h, start, size = substrings.anchors(data, 50)
+    _, start, size, _, _ = substrings.anchors(data, 50)
     covered = set()
     for s, n in zip(start.tolist(), size.tolist()):
         covered |= set(range(s, s + n - 49))

@@ -69,3 +69,15 @@ def remainder(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"),
                               F.lit("")).cast("binary")) % n
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now: it acts when the driver's JVM has
+    collected its garbage, which is otherwise seldom, and the files would stay beside those of later jobs."""
+    import gc
+    import time
+
+    for _ in range(2):  # what the first collection frees, the second may enqueue for the cleaner
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -82,10 +82,13 @@ ORACLES["scan_filter"] = f"with {_FILES} select distinct file, seg from n"
 
 @query("dir_scan")
 def _(spark, d):
-    flat = _once(spark, d, "flat", lambda p: V.log_lines(spark, d).select("text").write.text(p))
+    flat = _once(spark, d, "flat", lambda p: V.log_lines(spark, d).select("text").repartition(7).write.text(p))
     return tx.dir_scan(spark, flat).select(F.regexp_extract("file", r"/(part-\d+)", 1).alias("part"))
 
 
+ORACLES["dir_scan"] = f"with {V.SQL_LINES} select distinct 'part-0000' || (row_number() over () % 7) as part from v_log_lines"
+
+
 def json_files(spark, d) -> str:
     """JSON lines in the even segments, one JSON array per file in the odd ones."""
     lines = _seg(V.log_lines(spark, d).filter("file = 'app-5.log'"))
@@ -204,7 +207,16 @@ ORACLES["recent_reports"] = f"""with {R.SQL_EXPLAINED} select file, line_number,
 
 @query("report_json")
 def _(spark, d):
-    return rp.report_json(R.explained(spark, d))
+    # the text read back field by field
+    fields = {"time": "log_entry.timestamp", "level": "log_entry.log_level", "message": "log_entry.message",
+              "type": "anomaly.anomaly_type", "severity": "severity.level", "summary": "explanation.summary",
+              "step": "explanation.remediation[0]"}
+    return rp.report_json(R.explained(spark, d)).select(
+        "file", "line_number", *[F.get_json_object("json", f"$.{path}").alias(name) for name, path in fields.items()])
+
+
+ORACLES["report_json"] = f"""with {R.SQL_EXPLAINED} select file, line_number, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') as time,
+ log_level as level, message, anomaly_type as type, severity, summary, remediation[1] as step from v_explained"""
 
 
 @query("deep_explanations")

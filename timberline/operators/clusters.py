@@ -17,11 +17,10 @@ from timberline.functions import text as T
 from timberline.operators.skew import attach
 from timberline.session import cut
 
-# fixed values: vocabulary size, document share of a term, random seed
-_TERMS, _MAX_SHARE, _SEED = 500, 0.95, 42
+# fixed values: document share of a term, random seed
+_MAX_SHARE, _SEED = 0.95, 42
 
 _CLUSTERS = "cluster_id int, cluster_size bigint, representative string, is_outlier boolean"
-_ASSIGNED = "file string, line_number bigint, cluster_id int, is_outlier boolean"
 
 
 def _terms(entries: DataFrame) -> DataFrame:
@@ -36,47 +35,47 @@ def _terms(entries: DataFrame) -> DataFrame:
 
 
 def cluster_logs(entries: DataFrame, max_clusters: int = 20,
-                 min_cluster_size: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(clusters, assignments). Fewer than three entries, or no words at all, give none.
+                 min_cluster_size: int = 2, vocabulary_size: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(clusters, assignments). With fewer than three entries, or no words at all, there are no clusters and every
+    row is assigned to none (null). Terms are the ``vocabulary_size`` most used ones.
 
     Equal messages have equal vectors, so the model is fitted on distinct normalised
     messages weighted by their number of rows, and only the result joins the rows.
     """
     spark = entries.sparkSession
-    empty = spark.createDataFrame([], _CLUSTERS), spark.createDataFrame([], _ASSIGNED)
+    nowhere = entries.select("file", "line_number", F.lit(None).cast("int").alias("cluster_id"),
+                             F.lit(None).cast("boolean").alias("is_outlier"))
+    empty = spark.createDataFrame([], _CLUSTERS), nowhere
     n = entries.count()
     if n < 3:
         return empty
-    terms = _terms(entries).persist()
-    try:
-        # document shares count rows, not distinct messages
-        doc_freq = (terms.select(F.explode(F.array_distinct("terms")).alias("term"), "weight")
-                    .groupBy("term").agg(F.sum("weight").alias("df")).filter(F.col("df") <= _MAX_SHARE * n))
-        uses = (terms.select(F.explode("terms").alias("term"), "weight")
-                .groupBy("term").agg(F.sum("weight").alias("uses")))
-        vocabulary = doc_freq.join(uses, "term").orderBy(F.col("uses").desc(), "term").limit(_TERMS).collect()
-        if not vocabulary:
-            return empty
-        counter = CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol="terms", outputCol="tf")
-        idf = np.log((1.0 + n) / (1.0 + np.array([r["df"] for r in vocabulary]))) + 1.0
-        weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf")
-        unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-        vectors = unit.transform(weigh.transform(counter.transform(terms)))
-        k = min(max_clusters, max(2, n // 3))
-        model = KMeans(k=k, seed=_SEED, weightCol="weight").fit(vectors)
-        centers = np.array(model.clusterCenters())
-
-        @pandas_udf("double")
-        def distance(features: pd.Series, cluster: pd.Series) -> pd.Series:
-            rows = np.vstack(features.to_numpy())
-            return pd.Series(((rows - centers[cluster.to_numpy()]) ** 2).sum(axis=1))
-
-        placed = (model.transform(vectors)
-                  .select("normalized", "weight", F.col("prediction").alias("cluster_id"),
-                          distance(vector_to_array("features"), "prediction").alias("distance")))
-        placed = cut(placed)
-    finally:
-        terms.unpersist()
+    terms = cut(_terms(entries))
+    # document shares count rows, not distinct messages
+    doc_freq = (terms.select(F.explode(F.array_distinct("terms")).alias("term"), "weight")
+                .groupBy("term").agg(F.sum("weight").alias("df")).filter(F.col("df") <= _MAX_SHARE * n))
+    uses = (terms.select(F.explode("terms").alias("term"), "weight")
+            .groupBy("term").agg(F.sum("weight").alias("uses")))
+    vocabulary = doc_freq.join(uses, "term").orderBy(F.col("uses").desc(), "term").limit(vocabulary_size).collect()
+    if not vocabulary:
+        return empty
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol="terms", outputCol="tf")
+    idf = np.log((1.0 + n) / (1.0 + np.array([r["df"] for r in vocabulary]))) + 1.0
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf")
+    unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
+    vectors = unit.transform(weigh.transform(counter.transform(terms)))
+    k = min(max_clusters, max(2, n // 3))
+    model = KMeans(k=k, seed=_SEED, weightCol="weight").fit(vectors)
+    centers = np.array(model.clusterCenters())
+
+    @pandas_udf("double")
+    def distance(features: pd.Series, cluster: pd.Series) -> pd.Series:
+        rows = np.vstack(features.to_numpy())
+        return pd.Series(((rows - centers[cluster.to_numpy()]) ** 2).sum(axis=1))
+
+    placed = (model.transform(vectors)
+              .select("normalized", "weight", F.col("prediction").alias("cluster_id"),
+                      distance(vector_to_array("features"), "prediction").alias("distance")))
+    placed = cut(placed)
     first = entries.select(T.cluster_text("message").alias("normalized"), "file", "line_number",
                            T.clip("message", 200).alias("message"))
     # the most central text of each cluster, then its first message: at most k rows to join

@@ -168,7 +168,7 @@ ORACLES["gen_logs"] = f"""select event_id as id, {_draw(1, 100)} < 25 as is_anom
  case when {_draw(1, 100)} < 25 then case when {_draw(7, 2)} = 0 then 'HIGH' else 'CRITICAL' end
  else case when {_draw(7, 2)} = 0 then 'LOW' else 'MEDIUM' end end as severity,
  strftime(ts, '%Y-%m-%d %H:%M:%S') || ' app.service [1]: ' || ({S.words(lb.LEVELS)})[{_draw(8, 5)} + 1]
- || ': This is log entry number ' || event_id || ' with some random data ' || {_draw(9, 10000)} as line from events"""
+ || ': item ' || event_id || ' handled, checksum ' || {_draw(9, 10000)} as line from events"""
 
 
 # --- stored reports -------------------------------------------------------------------

@@ -63,10 +63,10 @@ def message(dialect: str) -> str:
  when 6 then 'Permission denied: user u' || {_s('user_id')} || ' cannot read "/etc/app/conf-' || {_s('user_id % 3')} || '.yml"'
  else 'No space left on device /dev/sda' || {_s('user_id % 3')} || ' code=ENOSPC' end
  else case event_id % 8
- when 0 then 'User login successful for u' || {_s('user_id')} || ' from ' || {_IP}
- when 1 then 'Request processed in ' || {_V} || 'ms'
- when 2 then 'Health check passed'
- when 3 then 'Cache hit for key session_' || {_s('event_id')}
+ when 0 then 'Session opened for u' || {_s('user_id')} || ' from ' || {_IP}
+ when 1 then 'Page rendered in ' || {_V} || 'ms'
+ when 2 then 'Heartbeat of the worker received'
+ when 3 then 'Cached copy served for basket_' || {_s('event_id')}
  when 4 then 'Scheduled job completed: cleanup run ' || {_s('user_id % 9')}
  when 5 then 'Service restarting on node ' || {_s('user_id % 3')} || ' after sigterm'
  when 6 then 'Fetched https://shop.example.com/item/' || {_s('event_id')} || ' for ops@example.com in ' || {_s('event_id % 90')} || '.5 s'

@@ -175,6 +175,19 @@ def test_large_group_of_near_copies_and_its_neighbours(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(data).collect()} == {i: top(i) for i in sets}
 
 
+def test_refrains_that_repeat_a_different_number_of_times(spark):
+    """Equal shingle sets whose shingles occur 40 times in one text and once in the other, against brute force."""
+    rows = []
+    for k in range(20):
+        verse, refrain = _words(700 + k, 200), _words(800 + k, 10)
+        rows += [(3 * k, f"{verse} {refrain} {refrain}"), (3 * k + 1, verse + f" {refrain}" * 41), (3 * k + 2, _words(850 + k, 200))]
+    data = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in rows], SCHEMA)
+    sets = {i: set(neardup.shingles(t)[0].tolist()) for i, t in rows}
+    first = {a: min(b for b in sets if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])) for a in sets}
+    assert sum(a != b for a, b in first.items()) == 20
+    assert {r.doc_id: r.class_id for r in neardup.classes(data).collect()} == first
+
+
 def test_language(spark, docs, nothing):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(source.filter("doc_id % 4 <> 2"))

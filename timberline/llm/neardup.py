@@ -1,4 +1,4 @@
-"""Near-duplicates: ProbMinHash of weighted word shingles, banding, verification, classes.
+"""Near-duplicates: ProbMinHash of word shingles, banding, verification, classes.
 
 Exact copies (the same words in the same order) are one node from the start. Nodes that share a band of their
 signatures are compared by the exact Jaccard similarity of their shingle sets. Groups are never paired out:
@@ -94,11 +94,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         for ids, hashes, texts in batches:
             out: dict[str, list] = {"doc_id": ids, "text_hash": hashes, "digest": [], "bands": [], "shingles": []}
             for text in texts:
-                found, count, digest = shingles(text, n)
+                found, _, digest = shingles(text, n)
                 out["digest"].append(digest if len(found) else None)
                 band: list[int] | np.ndarray = []
                 if len(found):
-                    parts = prob_min_hash(found, count, bands * rows).reshape(bands, rows)
+                    # equal weights: registers agree with the similarity of the sets, by which links are verified
+                    parts = prob_min_hash(found, np.ones(len(found)), bands * rows).reshape(bands, rows)
                     h = np.arange(bands, dtype=np.uint64)
                     for k in range(rows):
                         h = _mix(h * _GOLDEN + parts[:, k])
@@ -143,9 +144,9 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
 
     class_id is the smallest doc_id of the near-duplicate class: documents joined by any number of links of
     Jaccard similarity of at least ``least`` between their sets of ``n``-word shingles, or by being exact copies.
-    kept marks the first document of a class. Shingles weigh as often as they occur in the signatures; with
-    ``bands`` x ``rows`` registers two documents of probability Jaccard 0.8 miss each other with a chance
-    of 7 in 100 000. Texts that are null or have no word are classes of their own. Rows that repeat both id
+    kept marks the first document of a class. Every shingle of a set weighs the same in the signatures, however
+    often it occurs; with ``bands`` x ``rows`` registers two documents of Jaccard similarity 0.8 miss each
+    other with a chance of 7 in 100 000. Texts that are null or have no word are classes of their own. Rows that repeat both id
     and text are one document. Null ids come after all others. Other columns are not looked at.
     """
     table = cut(signatures(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()))

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import compare, connect
@@ -124,6 +125,32 @@ def test_substrings(docs, texts, nothing):
     assert substrings.cleaned(nothing).count() == 0
 
 
+def test_a_crowded_anchor_is_split(spark, monkeypatch):
+    """A line among different neighbours in all documents: no shard holds all fragments over its edges."""
+    line = _words(20, 12)
+    rows = [(k, f"{_words(3000 + k, 12)} {line} {_words(4000 + k % 290, 12)}") for k in range(300)]
+    data = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in [*rows, (None, rows[5][1] + line)]], SCHEMA)
+    monkeypatch.setattr(substrings, "CROWD", 20, raising=False)
+    sort, largest = substrings.sort_fragments, []
+
+    def measured(fragments, *rest):
+        for r in fragments.filter("shard >= 0").groupBy("shard").agg(F.collect_list("pieces").alias("p")).collect():
+            largest.append(int(substrings._unpack([bytes(b) for b in r.p], substrings._PIECE)["size"].astype(int).sum()))
+        return sort(fragments, *rest)
+
+    monkeypatch.setattr(substrings, "sort_fragments", measured)
+    found = {r.doc_id: r.n_removed for r in substrings.digests(data).collect()}
+    first, want = {}, {}
+    for i, t in [*rows, (None, rows[5][1] + line)]:
+        gone, b = bytearray(len(t)), t.encode()
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k:k + 50], i) != i:
+                gone[k:k + 50] = b"\1" * 50
+        want[i] = sum(gone)
+    assert found == want
+    assert max(largest) < 8000  # 300 fragments of 50 bytes and more in one shard are 15 000
+
+
 def test_characters_are_not_cut(spark):
     same = "é" * 40
     rows = [(1, "aé" + same, None, None, None, *EXTRA), (2, "xé"[1:] + same + "ü", None, None, None, *EXTRA)]

@@ -231,6 +231,15 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in langid.predict(docs, one).collect()} == {"en", "und"}
 
 
+def test_no_language_to_learn_keeps_the_corpus(spark, docs):
+    """Without any lang the stage drops only what has no letter."""
+    data = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_known_languages(spark, data, SF)
+    assert kept.columns == data.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+        str(r.doc_id) for r in data.collect() if r.doc_id not in (3, 5, 7, 32))
+
+
 def test_toxicity(spark, docs, nothing):
     rows, labels = [], []
     for k in range(400):

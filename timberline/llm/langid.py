@@ -180,6 +180,15 @@ def classify(text: str | None, model: Model | None) -> tuple[str, float]:
     return model.langs[k], float(p[k] / p.sum())
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    @F.pandas_udf("boolean")
+    def letter(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and _LETTER.search(t) is not None).astype(bool)
+
+    return docs.filter(letter("text"))
+
+
 def predict(docs: DataFrame, model: Model | None, *keep: str | Column) -> DataFrame:
     """Add lang_pred and score to the columns ``keep`` (default doc_id) of ``docs``.
 

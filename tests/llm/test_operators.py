@@ -202,6 +202,17 @@ def test_large_group_of_near_copies_and_its_neighbours(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(data).collect()} == {i: top(i) for i in sets}
 
 
+def test_one_of_equal_texts_without_an_id_stays(spark):
+    """Null ids with equal texts: one stays if the first of the class is among them; texts without words all stay."""
+    same, other = _words(30, 40), _words(31, 40)
+    rows = [(None, same)] * 5 + [(None, same.upper())] * 2 + [(None, other)] * 3 + [(8, other)] * 2 + [(None, None)] * 2 + [(None, "!")] * 2
+    data = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in rows], SCHEMA).repartition(4)
+    kept = neardup.keep_one(data, neardup.classes(data))
+    assert kept.columns == data.columns
+    left = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
+    assert sorted(left, key=str) == sorted([(None, same), (8, other), (8, other), (None, ""), (None, ""), (None, "!"), (None, "!")], key=str)
+
+
 def test_refrains_that_repeat_a_different_number_of_times(spark):
     """Equal shingle sets whose shingles occur 40 times in one text and once in the other, against brute force."""
     rows = []

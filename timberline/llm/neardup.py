@@ -194,9 +194,15 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``classes`` found to be the first of their class."""
-    same = ["doc_id", "text_hash"]
-    marks = found.groupBy(*same).agg(F.max("kept").alias("_kept")).filter("not _kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    """The rows of ``docs`` that ``classes`` found to be the first of their class.
+
+    Rows that repeat both id and text are one document and stay together. Rows without an id are documents of their
+    own: of those with the text of the first of their class one stays.
+    """
+    groups = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("_kept"), F.min("kept").alias("_every"))
+    marks = cut(groups.filter("not _kept or (doc_id is null and not _every)").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_kept"))
     match = docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_hash"])
-    return docs.join(marks, match, "left_anti")
+    one = docs.filter("doc_id is null").dropDuplicates(["text"])  # before the join, so that no key is hot
+    return docs.join(marks, match, "left_anti").unionByName(
+        one.join(marks.filter("_kept"), F.xxhash64(one["text"]) == marks["_hash"], "left_semi"))

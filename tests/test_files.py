@@ -29,6 +29,16 @@ def test_numbers_across_blocks_and_blank_lines(spark, tmp_path):
     assert tx.dir_scan(spark, str(tmp_path)).count() == 2
 
 
+def test_large_files_are_listed(spark, tmp_path):
+    with (tmp_path / "large.log").open("wb") as f:
+        f.truncate(150 << 20)  # sparse
+    (tmp_path / "small.log").write_text("x")
+    (tmp_path / "empty.log").write_text("")
+    found = {r["file"].rsplit("/", 1)[1]: r["size"] for r in tx.scan_filter(spark, str(tmp_path)).collect()}
+    assert found == {"large.log": 150 << 20, "small.log": 1}
+    assert tx.scan_filter(spark, str(tmp_path), max_bytes=1 << 20).count() == 1
+
+
 def test_bad_bytes_and_encodings(spark, tmp_path):
     (tmp_path / "u.log").write_bytes(b"ok \xff end\n")
     assert tx.scan_lines(spark, str(tmp_path)).first()["text"] == "ok � end"

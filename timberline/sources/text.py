@@ -59,16 +59,17 @@ def scan_lines(spark: SparkSession, path: str | list[str], encoding: str | None
 
 
 def scan_filter(spark: SparkSession, path: str | list[str], extensions: list[str] | None = None,
-                max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """(file, size) of the files a scan would read, in path order."""
+                max_bytes: int | None = None) -> DataFrame:
+    """(file, size) of the files a scan would read, in path order; of any size unless ``max_bytes`` leaves larger ones out."""
     ok = F.lit(False)
     for ext in extensions or K.SCAN_EXTENSIONS:
         ok = ok | F.lower("path").endswith(ext)
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # content is not read
-    return (files.filter(ok & F.col("length").between(1, max_bytes))
+    size = F.col("length")
+    return (files.filter(ok & (size >= 1 if max_bytes is None else size.between(1, max_bytes)))
             .select(F.col("path").alias("file"), F.col("length").alias("size")).orderBy("file"))
 
 
 def dir_scan(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
     """Existing files of one folder with a watched extension, sorted."""
-    return scan_filter(spark, f"{folder.rstrip('/')}/*", extensions, max_bytes=1 << 62).select("file")
+    return scan_filter(spark, f"{folder.rstrip('/')}/*", extensions).select("file")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from timberline.llm import hnsw, langid, lengths, negatives, neardup, packing, runs, sentencepieces, substrings, token_files, topk, toxicity
+from timberline.llm import hnsw, langid, lengths, negatives, neardup, packing, runs, sentencepieces, simhash, substrings, token_files, topk, toxicity
 from timberline.llm.common import remainder, table
 from timberline.session import scratch_dir
 
@@ -70,9 +70,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find_runs(runs.planted(table(spark, sf_dir, "documents"))).drop("starts", "lengths", "periods")
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_minhash_near_dedup, op4_language_id,
                                 op5_suffix_dedup, op6_token_counts, op7_token_files,
-                                   op8_toxicity, op9_nearest_neighbours, op10_exact_top_k, op11_hard_negatives, op12_periodic_runs)}
+                                   op8_toxicity, op9_nearest_neighbours, op10_exact_top_k, op11_hard_negatives, op12_periodic_runs,
+                                   op13_simhash_near_dedup)}
 ORACLES: dict[str, str] = {
     "op10_exact_top_k": """
 with good as (

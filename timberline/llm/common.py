@@ -34,13 +34,14 @@ def worker_state(key: object, make: Callable[[], Any]) -> Any:
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]],
-             schema: str) -> DataFrame:
+             schema: str, at_once: int | None = None) -> DataFrame:
     """Map ``columns`` of ``df`` through ``fn``, which gets Python lists per Arrow batch and yields
-    dicts of lists or arrays, one per output batch."""
+    dicts of lists or arrays, one per output batch. With ``at_once``, of so many rows of a batch at a time."""
     target = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _parsed(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ([b.column(i).to_pylist() for i in range(len(columns))] for b in batches)
+        parts = (b.slice(a, at_once or len(b)) for b in batches for a in range(0, len(b), at_once or len(b)))
+        lists = ([b.column(i).to_pylist() for i in range(len(columns))] for b in parts)
         for out in fn(lists):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], type=f.type, from_pandas=False) for f in target], schema=target)

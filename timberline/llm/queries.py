@@ -67,7 +67,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.find_runs(runs.planted(table(spark, sf_dir, "documents"))).drop("starts", "lengths", "periods")
+    return runs.find_runs(table(spark, sf_dir, "documents"), rewrite=runs.planted).drop("starts", "lengths", "periods")
 
 
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ or more, and is stitched after a shuffle by document and period.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -27,7 +28,10 @@ LEAST_LENGTH = 24  # words of a run
 LEAST_REPEATS = 3  # periods of a run
 WHOLE = 65_536  # characters of a text that is solved in one piece
 TILE = 8_192  # words of a tile's core, or 16 P in octaves where that is more
-STRIP = 262_144  # words that are solved together
+STRIP = 131_072  # words that are solved together
+ROWS = 500  # rows that are turned into words at a time
+
+Rewrite = Callable[[int | None, list[bytes]], list[bytes]]
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -170,21 +174,21 @@ def _columns(rows: list[tuple], first: str) -> dict:
     return {first: [r[0] for r in rows]} | {n: [r[1][n] for r in rows] for n in _NAMES}
 
 
-def _whole(docs: DataFrame) -> DataFrame:
+def _whole(docs: DataFrame, rewrite: Rewrite) -> DataFrame:
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
         for ids, texts in batches:
             a = 0
             while a < len(ids):  # strips of about STRIP words
                 some, n = [], 0
                 while a + len(some) < len(ids) and n < STRIP:
-                    some.append(words_of(texts[a + len(some)]))
+                    some.append(rewrite(ids[a + len(some)], words_of(texts[a + len(some)])))
                     n += len(some[-1]) + 1
                 done = solve_whole(some)
                 yield _columns([(i, report(w, [tuple(x) for x in r.tolist()]))
                                 for i, w, r in zip(ids[a:a + len(some)], some, done)], "doc_id")
                 a += len(some)
 
-    return map_rows(docs, ["doc_id", "text"], run, f"doc_id bigint, {_OUT}")
+    return map_rows(docs, ["doc_id", "text"], run, f"doc_id bigint, {_OUT}", ROWS)
 
 
 def tiles(n: int, tile: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -202,12 +206,12 @@ def tiles(n: int, tile: int) -> Iterator[tuple[int, int, int, int, int, int]]:
         k = upto
 
 
-def _tiled(long: DataFrame, tile: int) -> DataFrame:
+def _tiled(long: DataFrame, tile: int, rewrite: Rewrite) -> DataFrame:
     """Fragments of long texts: _key, period, low, high (words)."""
     def explode(batches: Iterator[list[list]]) -> Iterator[dict]:
-        for keys, texts in batches:
-            for key, text in zip(keys, texts):
-                words = words_of(text)
+        for keys, ids, texts in batches:
+            for key, i, text in zip(keys, ids, texts):
+                words = rewrite(i, words_of(text))
                 codes = Codes()
                 coded = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
                 for k, upto, a, b, c, d in tiles(len(coded), tile):
@@ -221,10 +225,10 @@ def _tiled(long: DataFrame, tile: int) -> DataFrame:
                 rows = fragments(codes, len(codes), low, high, (k, upto))
                 yield {"_key": [key] * len(rows), "period": rows[:, 0], "low": rows[:, 1] + at, "high": rows[:, 2] + at}
 
-    exploded = map_rows(long, ["_key", "text"], explode,
-                        "_key string, k int, upto int, at bigint, low bigint, high bigint, n bigint, codes binary")
+    exploded = map_rows(long, ["_key", "doc_id", "text"], explode,
+                        "_key string, k int, upto int, at bigint, low bigint, high bigint, n bigint, codes binary", ROWS)
     dealt = exploded.repartition("_key", "k", "at")
-    return map_rows(dealt, dealt.columns, solve, "_key string, period bigint, low bigint, high bigint")
+    return map_rows(dealt, dealt.columns, solve, "_key string, period bigint, low bigint, high bigint", ROWS)
 
 
 def stitched(found: DataFrame) -> DataFrame:
@@ -241,7 +245,11 @@ def stitched(found: DataFrame) -> DataFrame:
     return whole.groupBy("_key", "start", "length").agg(F.min("period").alias("period"))
 
 
-def find_runs(docs: DataFrame, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+def as_written(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    return words
+
+
+def find_runs(docs: DataFrame, whole: int = WHOLE, tile: int = TILE, rewrite: Rewrite = as_written) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): its runs, the strongest of them, and digests.
 
     A run is a stretch of at least 24 words and three periods with smallest period q that no neighbouring word
@@ -253,6 +261,7 @@ def find_runs(docs: DataFrame, whole: int = WHOLE, tile: int = TILE) -> DataFram
     Words are what spaces and the characters 09 to 0D separate. Null and empty texts have no words, no runs and the digests of
     nothing. Repeated rows and null ids give a row each; other columns are ignored. A document is one row,
     so its words and runs fit in a task; texts of over ``whole`` characters are solved in tiles all the same.
+    ``rewrite`` may change the words of a document before they are searched, given its doc_id; it must not depend on anything else.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     is_long = F.length("text") > whole
@@ -260,7 +269,7 @@ def find_runs(docs: DataFrame, whole: int = WHOLE, tile: int = TILE) -> DataFram
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256)
     long = rows.filter(is_long).withColumn("_key", key)
     # many runs of few texts: one row per text, bounded by the text itself
-    listed = (stitched(_tiled(long, tile)).groupBy("_key")
+    listed = (stitched(_tiled(long, tile, rewrite)).groupBy("_key")
               .agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
               .select(F.col("_key").alias("_of"), F.col("runs.start").alias("starts"), F.col("runs.length").alias("lengths"),
                       F.col("runs.period").alias("periods")))
@@ -269,26 +278,19 @@ def find_runs(docs: DataFrame, whole: int = WHOLE, tile: int = TILE) -> DataFram
     def digest(batches: Iterator[list[list]]) -> Iterator[dict]:
         for ids, texts, starts, lengths, periods in batches:
             for i, text, *runs in zip(ids, texts, starts, lengths, periods):
-                yield _columns([(i, report(words_of(text), list(zip(*[r or [] for r in runs]))))], "doc_id")
-
-    long_rows = map_rows(met, ["doc_id", "text", "starts", "lengths", "periods"], digest, f"doc_id bigint, {_OUT}")
-    return _whole(short).unionByName(long_rows)
-
-
-def planted(docs: DataFrame) -> DataFrame:
-    """doc_id and text, where the texts of a tenth of the documents become periodic from some word on.
-
-    With h the crc32 of the decimal doc_id and g = h // 10, a text of n > 0 words with h % 10 = 0 repeats its p = 1 + (n - a) //
-    (3 + g % 8) words from word a = g % n on. Other texts, and those of rows without an id, stay as they are.
-    """
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    chosen = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    rows = docs.select("doc_id", "text", chosen.alias("_w"), (h / 10).cast("bigint").alias("_g"))
-    rows = rows.withColumn("_n", F.greatest(F.size("_w"), F.lit(1)))
-    rows = rows.withColumn("_a", (F.col("_g") % F.col("_n")).cast("int"))
-    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)).cast("int"))
-    left = F.col("_n") - F.col("_a")
-    times = F.ceil(left / F.col("_p")).cast("int")
-    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), left)
-    made = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")
-    return rows.select("doc_id", F.when(F.size("_w") > 0, made).otherwise(F.col("text")).alias("text"))
+                yield _columns([(i, report(rewrite(i, words_of(text)), list(zip(*[r or [] for r in runs]))))], "doc_id")
+
+    long_rows = map_rows(met, ["doc_id", "text", "starts", "lengths", "periods"], digest, f"doc_id bigint, {_OUT}", ROWS)
+    return _whole(short, rewrite).unionByName(long_rows)
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Makes a tenth of the documents periodic from some word on: with h the crc32 of the decimal doc_id and g = h // 10, n > 0 words
+    with h % 10 = 0 repeat p = 1 + (n - a) // (3 + g % 8) words from word a = g % n on. Rows without an id stay as they are."""
+    h = zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]

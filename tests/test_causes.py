@@ -40,26 +40,59 @@ def _score(a, b):
     return round(temporal * 0.5 + escalation * 0.3 + round(len(x & y) / len(x | y) * 0.3, 3) * 0.2, 3)
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
-def test_cascades_equal_the_sequential_greedy(spark, seed):
-    data = sorted(_events(seed), key=lambda e: (-e[5], e[9], e[10]))
-    want, merged = {}, set()
+def _greedy(data):
+    """event_id to leader, one after the other in order of confidence."""
+    data = sorted(data, key=lambda e: (-e[5], e[9], e[10]))
+    want = {}
     for i, lead in enumerate(data):
-        if i in merged:
+        if lead[0] in want:
             continue
         want[lead[0]] = lead[0]
-        for j in range(i + 1, len(data)):
-            if j not in merged and _score(lead, data[j]) >= 0.4:
-                merged.add(j)
-                want[data[j][0]] = lead[0]
+        for other in data[i + 1:]:
+            if other[0] not in want and _score(lead, other) >= 0.4:
+                want[other[0]] = lead[0]
+    return want
+
+
+@pytest.mark.parametrize("seed, block", [(3, 50_000), (4, 50_000), (5, 50_000), (4, 7)])
+def test_cascades_equal_the_sequential_greedy(spark, seed, block):
+    data = _events(seed)
     events = spark.createDataFrame(data, EVENTS)
-    leaders = rc.cascade_leaders(events)
+    leaders = rc.cut(rc.cascade_leaders(events, block=block))
     got = {r["event_id"]: r["leader_id"] for r in rc.cascade_map(events, leaders).collect()}
-    assert got == want
+    assert got == _greedy(data)
     done = rc.detect_cascades(events, rc.cascade_map(events, leaders))
     assert done.agg(F.sum("event_count")).first()[0] == sum(e[8] for e in data)
 
 
+def _chain(n, seconds):
+    return [(f"e{i:03}", "t", "d", T0 + timedelta(seconds=seconds * i), T0 + timedelta(seconds=seconds * i + 5), 0.5, "LOW", "a b", 2, "f", i)
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("seconds, block, rounds", [(20, 50_000, 1), (300, 50_000, 1), (300, 20, 1), (20, 50, 5)])
+def test_chains_of_equal_confidence_take_few_rounds(spark, monkeypatch, seconds, block, rounds):
+    """Each group waits for the one before it; a block settles them all the same. A chain longer than a block goes on
+    from block to block."""
+    data = _chain(200, seconds)
+    seen = []
+    monkeypatch.setattr(rc, "_verdicts", lambda *a, f=rc._verdicts: seen.append(1) or f(*a))
+    leaders = rc.cascade_leaders(spark.createDataFrame(data, EVENTS), block=block)
+    want = _greedy(data)
+    assert {r["event_id"] for r in leaders.collect()} == set(want.values())
+    assert len(seen) <= rounds
+
+
+def test_long_events_across_many_blocks(many_cells):
+    """A third of the events spans everything."""
+    rng = random.Random(8)
+    data = _events(8, 60)
+    data = [e if i % 3 else (*e[:3], T0 + timedelta(seconds=rng.randint(0, 500)), T0 + timedelta(seconds=6000), *e[5:])
+            for i, e in enumerate(data)]
+    leaders = rc.cascade_leaders(many_cells.createDataFrame(data, EVENTS), block=5)
+    assert {r["event_id"] for r in leaders.collect()} == set(_greedy(data).values())
+
+
 def _reports(spark, items):
     return spark.createDataFrame(
         [("a.log", i + 1, ts, msg, sev, "app", "why") for i, (ts, msg, sev) in enumerate(items)],
@@ -137,14 +170,3 @@ def test_normal_chunks_cover_exactly_the_rest(many_cells):
                                        "file string, start_index long, end_index long")
     got = chunks.normal_chunks(chunks.index_lines(lines), spans, 30).orderBy("start_index").collect()
     assert [(r["start_index"], r["end_index"], r["line_count"]) for r in got] == [(0, 45, 30), (46, 75, 30), (76, 89, 14)]
-
-
-def test_distant_groups_are_decided_at_once(spark, monkeypatch):
-    """Groups of equal confidence out of each other's reach don't wait for each other."""
-    rows = [(f"e{i:03}", "t", "d", T0 + timedelta(seconds=300 * i), T0 + timedelta(seconds=300 * i + 5), 0.5, "LOW", "a b", 2, "f", i)
-            for i in range(200)]
-    events = spark.createDataFrame(rows, EVENTS)
-    rounds = []
-    monkeypatch.setattr(rc, "correlate_events", lambda *a, f=rc.correlate_events: rounds.append(1) or f(*a))
-    assert rc.cascade_leaders(events).count() == 200
-    assert len(rounds) <= 2

@@ -79,6 +79,18 @@ def with_running_sum(cells: DataFrame, order: list[str], weight: Column, name: s
     return _join_carry(inner, carry).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
+def with_earlier_max(cells: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add the largest ``value`` of all rows before each row; null for the first."""
+    before = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
+    if _alone(cells):
+        return cells.withColumn(name, F.max(value).over(before))
+    most = cells.groupBy("_cell").agg(F.max(value).alias("_most"))
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carry = most.select("_cell", F.max("_most").over(earlier).alias("_before"))
+    inner = cells.withColumn(name, F.max(value).over(before))
+    return _join_carry(inner, carry).withColumn(name, F.greatest(name, "_before")).drop("_before")
+
+
 def with_index(cells: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """Add the 0-based position of each row in the whole order."""
     counted = with_running_sum(cells, order, F.lit(1).cast("bigint"), name)

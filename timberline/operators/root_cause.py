@@ -6,11 +6,13 @@ own, one row per member, so a group of any size never has to fit in one value.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timberline import constants as K
 from timberline.functions import text as T, timing as M
-from timberline.operators.ordered import order_cells, with_carried, with_index, with_previous
+from timberline.operators.ordered import order_cells, with_carried, with_earlier_max, with_index, with_previous
+from timberline.operators.settle import LEADS, OPEN, Event, settle
 from timberline.operators.skew import attach
 from timberline.operators.templates import with_template
 from timberline.session import cut
@@ -164,9 +166,13 @@ def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _M
     Both sides are cut into time cells and met cell by cell; a pair is kept in the one
     cell where the later of the two padded windows begins.
     """
+    return _correlated(_prepared(earlier), _prepared(later), min_score, width)
+
+
+def _correlated(earlier: DataFrame, later: DataFrame, min_score: float, width: int) -> DataFrame:
     pad = _reach(min_score) / 2 + 0.001
-    a = _cells(_prepared(earlier), width, pad).alias("a")
-    b = _cells(_prepared(later), width, pad).alias("b")
+    a = _cells(earlier, width, pad).alias("a")
+    b = _cells(later, width, pad).alias("b")
     first_common = F.floor((M.epoch_micros(F.greatest("a.start", "b.start")) - int(pad * 1e6)) / (width * 1_000_000))
     pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.turn") < F.col("b.turn"))
                    & (first_common == F.col("a.cell")))
@@ -177,39 +183,89 @@ def correlate_events(earlier: DataFrame, later: DataFrame, min_score: float = _M
 
 
 def cascade_leaders(events: DataFrame, min_score: float = _MIN_SCORE, width: int = 90,
-                    depth: int = 8) -> DataFrame:
+                    block: int = 50_000) -> DataFrame:
     """Events that no earlier leader absorbs, taken in order of confidence.
 
-    Leaders are decided in rounds. An undecided event waits only for earlier undecided ones that
-    would absorb it: in every time cell it touches (cells are about as wide as pairs can reach) it
-    is scored against the ``depth`` first. It is a leader if it is among or right behind
-    them in all its cells and none absorbs it; it then absorbs its later neighbours. So events out
-    of each other's reach, or in reach but unlike, are decided in the same round, a round joins
-    an event with at most ``depth`` others per cell, and the pairs of a cell are never listed.
-    State between rounds is checkpointed.
+    The time line is cut into islands: stretches whose events lie within each other's reach, found with a running maximum
+    of the ends. Whole islands are put together to blocks of about ``block`` events, and a task settles a block by
+    walking through its events once in order of confidence, so all islands are settled in one round however their
+    events wait for each other. Islands beyond twice that are cut into blocks regardless and settled in rounds, see
+    ``_settle_long``. Untimed events are near nothing and lead themselves.
     """
-    pad = _reach(min_score) / 2 + 0.001
-    # untimed events are near nothing and lead themselves
-    state = cut(events.withColumn("_lead", F.when(F.col("start").isNull(), True)))
-    in_turn = Window.partitionBy("cell").orderBy("turn")
-    while True:
-        waiting = state.filter("_lead is null")
-        if waiting.isEmpty():
-            return state.filter("_lead").drop("_lead")
-        placed = cut(_cells(_prepared(waiting), width, pad))
-        heads = placed.withColumn("_place", F.row_number().over(in_turn)).filter(F.col("_place") <= depth)
-        behind = placed.join(heads.select("event_id", "cell"), ["event_id", "cell"], "left_anti").select("event_id")
-        absorbed = (
-            heads.alias("a").join(placed.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.turn") < F.col("b.turn")))
-            .filter(pair_score("a", "b") >= min_score).select(F.col("b.event_id").alias("event_id")))
-        first = cut(placed.select("event_id").distinct()
-                    .join(behind.unionByName(absorbed), "event_id", "left_anti"))
-        won = waiting.join(first, "event_id", "left_semi")
-        taken = correlate_events(won, waiting, min_score, width).select("event_id").distinct()
-        decided = first.select("event_id", F.lit(True).alias("_now")).unionByName(
-            taken.select("event_id", F.lit(False).alias("_now")))
-        state = cut(state.join(decided, "event_id", "left")
-                    .withColumn("_lead", F.coalesce("_lead", "_now")).drop("_now"))
+    order = ["start", "event_id"]
+    rows = _prepared(events).select(
+        "event_id", "start", "end", "rank", "words", "turn", M.epoch_micros("start").alias("start_us"),
+        M.epoch_micros("end").alias("end_us"))
+    scanned = with_earlier_max(with_index(order_cells(rows, order), order), order, "end_us", "_reached")
+    opens = F.col("_reached").isNull() | (F.col("start_us") - F.col("_reached") > _reach_micros(min_score))
+    islands = with_carried(scanned, order, F.when(opens, F.col("index")), "_island")
+    placed = cut(islands.select(*rows.columns, F.floor(F.col("_island") / block).alias("block"), F.lit(False).alias("shared")))
+    large = cut(placed.groupBy("block").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * block))
+    if large.isEmpty():
+        led = _verdicts(placed, min_score).filter(F.col("verdict") == LEADS).select("event_id")
+    else:
+        told = cut(attach(placed, large, ["block"], "_n"))
+        short = _verdicts(told.filter("_n is null"), min_score).filter(F.col("verdict") == LEADS).select("event_id")
+        led = short.unionByName(_settle_long(told.filter("_n is not null").select(*rows.columns), min_score, width, block))
+    return events.join(led, "event_id", "left_semi").unionByName(events.filter("start is null"))
+
+
+def _reach_micros(min_score: float) -> int:
+    return int(_reach(min_score) * 1e6) + 1000
+
+
+def _verdicts(placed: DataFrame, min_score: float) -> DataFrame:
+    """(event_id, verdict) of every row, settled block by block; a block fits in a task."""
+    reach = _reach_micros(min_score)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["turn"]["c"], r["turn"]["f"], r["turn"]["l"]))
+        found = settle([Event(r["event_id"], r["start_us"], r["end_us"], r["rank"], frozenset(r["words"]), r["shared"])
+                        for r in rows], reach, min_score)
+        return pa.table({"event_id": pa.array([r["event_id"] for r in rows], pa.string()),
+                         "verdict": pa.array(found, pa.int32())})
+
+    needed = ["block", "event_id", "start_us", "end_us", "rank", "words", "turn", "shared"]
+    return placed.select(*needed).groupBy("block").applyInArrow(run, "event_id string, verdict int")
+
+
+def _settle_long(rows: DataFrame, min_score: float, width: int, block: int, guests: int = 8) -> DataFrame:
+    """(event_id) of the leaders of islands that don't fit in a task.
+
+    A round cuts the open events into blocks by their start; an event is also a guest of the later blocks it
+    reaches. What a block settles holds where it depends on events of this block alone; an event leads if it leads in all its
+    blocks. Of the guests of a block the first ``guests`` in turn take part, the others stay open. What the new leaders
+    absorb is taken out, and the rest goes on as long as it fills more than two blocks. The first open event in turn is always
+    settled, so this ends; a round settles all that doesn't wait for an open event of another block.
+    """
+    order, led = ["start", "event_id"], None
+    by_turn = Window.partitionBy("block").orderBy("turn")
+    while rows.count() > 2 * block:
+        cells = with_index(order_cells(rows, order), order)
+        homes = cut(cells.withColumn("home", F.floor(F.col("index") / block)).drop("index", "_cell"))
+        borders = homes.groupBy("home").agg(F.min("start_us").alias("at")).select(
+            "at", F.lit(0).alias("kind"), F.lit("").alias("event_id"), "home")
+        ends = homes.select((F.col("end_us") + _reach_micros(min_score)).alias("at"), F.lit(1).alias("kind"), "event_id",
+                            F.lit(None).cast("bigint").alias("home"))
+        key = ["at", "kind", "home", "event_id"]
+        last = with_carried(order_cells(borders.unionByName(ends), key), key, F.col("home"), "last").filter("kind = 1")
+        met = homes.join(last.select("event_id", "last"), "event_id")
+        placed = (met.withColumn("shared", F.col("last") > F.col("home"))
+                  .withColumn("block", F.explode(F.sequence("home", F.greatest("home", "last")))))
+        visiting = placed.filter("block > home").withColumn("_place", F.row_number().over(by_turn))
+        taking = placed.filter("block = home").unionByName(visiting.filter(F.col("_place") <= guests).drop("_place"))
+        missed = visiting.filter(F.col("_place") > guests).select("event_id", F.lit(OPEN).alias("verdict"))
+        summed = (_verdicts(taking, min_score).unionByName(missed).groupBy("event_id")
+                  .agg(F.max("verdict").alias("verdict")))
+        told = cut(rows.join(summed, "event_id"))
+        won = told.filter(F.col("verdict") == LEADS).drop("verdict")
+        rest = told.filter(F.col("verdict") == OPEN).drop("verdict")
+        taken = _correlated(won, rest, min_score, width).select("event_id")
+        rows = cut(rest.join(taken, "event_id", "left_anti"))
+        led = won.select("event_id") if led is None else led.unionByName(won.select("event_id"))
+    at_last = rows.withColumn("block", F.lit(0)).withColumn("shared", F.lit(False))
+    remaining = _verdicts(at_last, min_score).filter(F.col("verdict") == LEADS).select("event_id")
+    return remaining if led is None else led.unionByName(remaining)
 
 
 def cascade_map(events: DataFrame, leaders: DataFrame, min_score: float = _MIN_SCORE,

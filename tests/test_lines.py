@@ -94,3 +94,52 @@ def test_tags_and_categories(spark):
     assert one(spark, T.error_category(F.lit("Process killed: OUT OF MEMORY"))) == "resource"
     assert one(spark, T.error_tokens(F.lit("ERR-42 saw 503 and 12"))) == ["503", "ERR-42"]
     assert one(spark, T.error_tokens(F.lit("saw 503"))) == []
+
+
+def test_merge_moves_only_border_lines(spark, tmp_path):
+    """Lines read in order are folded in place: no exchange of the plan carries the text of a whole table."""
+    texts = [t for i in range(3000) for t in (f"2024-01-15 10:00:{i % 60:02} entry {i}", "   at frame", "   ")[:1 + i % 3]]
+    rows(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/one")
+    lines = spark.read.parquet(f"{tmp_path}/one")
+    seen = []
+    real = ln.order_cells
+    ln.order_cells = lambda df, order: seen.append(df.count()) or real(df, order)
+    try:
+        got = ln.merge_multiline(lines)
+        assert got.count() == 3000 and "repartition" not in got._jdf.queryExecution().toString().lower()
+    finally:
+        ln.order_cells = real
+    assert seen[0] <= 2 * lines.rdd.getNumPartitions()
+    assert {r["text"].count("at frame") for r in got.collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_equals_reading_line_by_line(many_cells, seed):
+    import random
+
+    rng = random.Random(seed)
+    texts = [rng.choice(["x head", "  more", "   ", "2024-01-01 10:00:00 at", "\tat y"]) for _ in range(200)]
+    missing = set(rng.sample(range(200), 30))
+    kept = [("f", i + 1, t) for i, t in enumerate(texts) if i not in missing]
+    want, first = {}, None
+    for _, n, t in kept:
+        flags = rows(many_cells, [t]).select(T.normalize_line("text").alias("n"), T.is_continuation("text").alias("c"))
+        clean, more = _line(flags, t)
+        if first is None or not more:
+            first = n
+            want[n] = clean
+        elif clean:
+            want[first] += " " + clean
+    frame = many_cells.createDataFrame(kept, "file string, line_number long, text string")
+    for n in (1, 5):
+        got = {r["line_number"]: r["text"] for r in ln.merge_multiline(frame.repartitionByRange(n, "line_number")).collect()}
+        assert got == want
+
+
+_FLAGS = {}
+
+
+def _line(flags, text):
+    if text not in _FLAGS:
+        _FLAGS[text] = tuple(flags.first())
+    return _FLAGS[text]

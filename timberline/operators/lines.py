@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from timberline import constants as K
 from timberline.functions import text as T
 from timberline.operators.ordered import order_cells, with_carried
+from timberline.session import cut
 
 
 def normalize_lines(lines: DataFrame) -> DataFrame:
@@ -17,41 +22,95 @@ def flag_continuations(lines: DataFrame) -> DataFrame:
     return lines.withColumn("is_continuation", T.is_continuation("text"))
 
 
+class _Piece:
+    """Lines of one entry read so far."""
+
+    def __init__(self, file: str, at: int, head: bool, first: str):
+        self.file, self.at, self.head, self.first, self.more = file, at, head, first, []
+
+    def row(self, border: bool) -> tuple:
+        # blank continuations add nothing; the opening line stays even when blank
+        more = [t for t in self.more if t]
+        rest = None if self.head else " ".join(([self.first] if self.first else []) + more)
+        return self.file, self.at, self.head, border, " ".join([self.first, *more]), rest
+
+
+_PIECES = pa.schema([("file", pa.string()), ("at", pa.int64()), ("head", pa.bool_()), ("border", pa.bool_()),
+                     ("text", pa.string()), ("rest", pa.string())])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold lines in the order they are read. A run is a stretch of rows with consecutive numbers of one file; an entry
+    followed by another one in its run is complete, what stands at the borders of a run is marked so."""
+    pending, last_file, last_line = None, None, -2
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, texts = batch.column(0), batch.column(2)
+        number = batch.column(1).to_numpy(zero_copy_only=False)
+        folded = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        code = files.dictionary_encode().indices.to_numpy()
+        breaks = np.ones(len(number), bool)
+        breaks[1:] = (number[1:] != number[:-1] + 1) | (code[1:] != code[:-1])
+        breaks[0] = files[0].as_py() != last_file or number[0] != last_line + 1
+        begins = np.flatnonzero(breaks | ~folded)
+        out = []
+        lead = begins[0] if len(begins) else len(number)
+        if lead:
+            pending.more += texts.slice(0, lead).to_pylist()
+        if len(begins):
+            if pending:
+                out.append(pending.row(bool(breaks[begins[0]]) or not pending.head))
+            ends = np.append(begins[1:], len(number))
+            # entries of one line, complete: taken over as they are
+            whole = ends - begins == 1
+            whole[-1] = False
+            whole[:-1] &= ~breaks[begins[1:]]
+            whole &= ~folded[begins]
+            at = pa.array(begins[whole])
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [files.take(at), batch.column(1).take(at), pa.array(np.ones(n, bool)), pa.array(np.zeros(n, bool)),
+                 texts.take(at), pa.nulls(n, pa.string())], schema=_PIECES)
+            for k in np.flatnonzero(~whole):
+                i, j = begins[k], ends[k]
+                piece = _Piece(files[i].as_py(), int(number[i]), not folded[i], texts[i].as_py())
+                piece.more += texts.slice(i + 1, j - i - 1).to_pylist()
+                if k == len(begins) - 1:
+                    pending = piece
+                else:
+                    out.append(piece.row(bool(breaks[j]) or not piece.head))
+        last_file, last_line = files[len(files) - 1].as_py(), int(number[-1])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+    if pending:
+        out = [pending.row(True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+
+
 def merge_multiline(lines: DataFrame) -> DataFrame:
     """(file, line_number, text): continuation lines folded into the entry before them.
 
-    An entry keeps the number of its first line. Lines are joined per cell first, so
-    the second step moves one row per cell and entry. The text of one entry is one
-    value by definition and has to fit in a row.
+    An entry keeps the number of its first line; continuation lines at the top of a file form an entry of their own.
+    Lines are folded where they are read, in the order of the scan, and the pieces are checkpointed; only what stands at
+    the border of a run of consecutive lines is shuffled, to find the entry it goes on with. Rows in any other order are
+    runs of one line, with the same result. The text of one entry is one value by definition and has to fit in a row.
     """
-    order = ["file", "line_number"]
-    flagged = lines.select(
-        "file", "line_number", T.normalize_line("text").alias("normalized"),
-        T.is_continuation("text").alias("folded"))
-    cells = order_cells(flagged, order)
-    head = F.when(~F.col("folded"), F.struct("file", "line_number"))
-    carried = with_carried(cells, order, head, "head")
-    # continuation lines at the top of a file form an entry of their own
-    entry = F.when(F.col("head.file") == F.col("file"), F.col("head.line_number")).otherwise(F.lit(-1))
-    keyed = carried.select("_cell", "file", "line_number", "normalized", "folded", entry.alias("entry"))
-    pieces = keyed.groupBy("_cell", "file", "entry").agg(
-        F.min("line_number").alias("at"),
-        F.array_sort(F.collect_list(F.struct("line_number", "normalized", "folded"))).alias("parts"))
-
-    def join_parts(parts, first):
-        # blank continuations add nothing; the opening line stays even when blank
-        kept = F.filter(parts, lambda p: (p["line_number"] == first) | ~p["folded"] | (p["normalized"] != ""))
-        return F.array_join(F.transform(kept, lambda p: p["normalized"]), " ")
-
-    entry_start = F.when(F.col("entry") >= 0, F.col("entry")).otherwise(F.col("at"))
-    joined = pieces.select("file", "entry", "at", join_parts(F.col("parts"), entry_start).alias("piece"))
-    whole = joined.groupBy("file", "entry").agg(
-        F.min("at").alias("line_number"),
-        F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    nonblank = F.filter("pieces", lambda p: (p["at"] == F.col("line_number")) | (p["piece"] != ""))
-    return whole.select(
-        "file", "line_number",
-        F.array_join(F.transform(nonblank, lambda p: p["piece"]), " ").alias("text"))
+    flagged = lines.select("file", F.col("line_number").cast("bigint").alias("line_number"),
+                           T.normalize_line("text").alias("normalized"), T.is_continuation("text").alias("folded"))
+    pieces = cut(flagged.filter("normalized is not null").mapInArrow(
+        _fold, "file string, at bigint, head boolean, border boolean, text string, rest string"))
+    order = ["file", "at"]
+    cells = order_cells(pieces.filter("border").drop("border"), order)
+    carried = with_carried(cells, order, F.when(F.col("head"), F.struct("file", "at")), "opened")
+    entry = F.when(F.col("opened.file") == F.col("file"), F.col("opened.at")).otherwise(F.lit(-1))
+    joined = carried.groupBy("file", entry.alias("entry")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "text", "rest"))).alias("parts"))
+    rest = F.filter(F.transform(F.slice("parts", 2, F.size("parts")), lambda p: p["rest"]), lambda t: t != "")
+    whole = joined.select(
+        "file", F.col("parts")[0]["at"].alias("line_number"),
+        F.array_join(F.concat(F.array(F.col("parts")[0]["text"]), rest), " ").alias("text"))
+    return pieces.filter("not border").select("file", F.col("at").alias("line_number"), "text").unionByName(whole)
 
 
 def truncate_lines(lines: DataFrame, limit: int = K.MAX_LINE_CHARS) -> DataFrame:

@@ -20,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     Merged lines, entries and anomalies are each used several times, so each is
     computed once and checkpointed.
     """
-    merged = cut(lines.merge_multiline(views.log_lines(spark, sf_dir)))
+    merged = lines.merge_multiline(views.log_lines(spark, sf_dir))
     entries = cut(parse.parse_entries(merged, default_year=2024))
     scored = anomaly.evaluate_anomalies(entries, reports.WINDOW, reports.THRESHOLD)
     rated = severity.severity_scores(scored, batch=entries)

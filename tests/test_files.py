@@ -1,6 +1,7 @@
 """Files, stored reports and streams."""
 
 import json
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import alerts
 from timberline.sources import json_logs, text as tx
-from timberline.streaming import alerts as sa, counts, monitor, tail
+from timberline.streaming import alerts as sa, counts, monitor, partial, tail
 
 T0 = datetime(2024, 1, 15, 10, 0, 0)
 
@@ -131,3 +132,44 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = {r["start"]: (r["count"], r["is_spike"]) for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
     assert got[T0] == (2, True) and got[T0 + timedelta(minutes=1)] == (1, False)
     assert got[T0 + timedelta(minutes=60)] == (1, False)
+
+
+def test_hot_rule_and_hot_template_over_batches(spark, tmp_path):
+    """Thousands of rows of one rule and one template: the same alerts and sessions as walking through all rows."""
+    rng = random.Random(4)
+    batches = [sorted(1000 * k + rng.choice([0, 0, 3, 400, 401]) + rng.random() for _ in range(2500)) for k in range(3)]
+
+    def frame(seconds):
+        return spark.createDataFrame([(T0 + timedelta(seconds=x), "f", i, "LOW", "database down", "t") for i, x in enumerate(seconds)],
+                                     "timestamp timestamp_ntz, file string, line_number long, severity string, message string, template string")
+
+    frames = [frame(b) for b in batches] + [frame([9000.0])]
+    stream = _batches(spark, tmp_path / "in", frames)
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    _finish(sa.stream_alerts(stream, [alerts.AlertRule("db", None, "database", 2)]), tmp_path / "a")
+    whole = sorted(int(x) for b in batches for x in b) + [9000]
+    fired, last = {}, None
+    for x in whole:
+        if last is None or x - last >= 2:
+            fired[x] = whole.count(x)
+            last = x
+    got = {int((r["second"] - T0).total_seconds()): r["matches"] for r in spark.read.parquet(str(tmp_path / "a" / "sink")).collect()}
+    assert got == fired
+    _finish(counts.session_groups(stream, 100), tmp_path / "b")
+    sessions, times = [], sorted(x for b in batches for x in b)
+    for x in times:
+        if sessions and x - sessions[-1][1] < 100:
+            sessions[-1] = (sessions[-1][0], x, sessions[-1][2] + 1)
+        else:
+            sessions.append((x, x, 1))
+    rows = spark.read.parquet(str(tmp_path / "b" / "sink")).collect()
+    assert sorted((r["start"], r["end"], r["event_count"]) for r in rows) == [
+        (T0 + timedelta(seconds=a), T0 + timedelta(seconds=b), n) for a, b, n in sessions]
+
+
+def test_rows_are_added_up_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(T0 + timedelta(milliseconds=7 * i), "t") for i in range(9000)] + [(None, "t")],
+                                 "timestamp timestamp_ntz, template string").coalesce(1)
+    got = partial.per_second(rows, ["template"]).collect()
+    assert len(got) == 63 and sum(r["n"] for r in got) == 9000
+    assert min(r["first"] for r in got) == T0 and max(r["last"] for r in got) == T0 + timedelta(milliseconds=7 * 8999)

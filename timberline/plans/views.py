@@ -73,6 +73,16 @@ def message(dialect: str) -> str:
  else 'Deadlock retry scheduled on table orders, address already in use 0.0.0.0:' || {_s('8000 + user_id % 3')} end end"""
 
 
+def json_line(dialect: str) -> str:
+    """Every event as a JSON object, every 41st as free text."""
+    d = DIALECTS[dialect]
+    status = "case when event_type = 'error' then '500' when event_type = 'view' then '404' else '200' end"
+    quoted = "replace(message, '\"', '\\\\\"')" if dialect == "spark" else "replace(message, '\"', '\\\"')"
+    return f"""case when event_id % 41 = 0 then 'free text note ' || {_s('event_id')} || ' from ' || source
+ else '{{"timestamp":"' || {d['iso_ts']} || 'Z","level":"' || lower(level) || '","msg":"' || {quoted} || '","service":"' || source
+ || '","status":' || {status} || '}}' end"""
+
+
 def raw_line(dialect: str) -> str:
     """One line format per file, every 41st line free text."""
     d = DIALECTS[dialect]
@@ -141,6 +151,12 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{FILE} as file", "event_id + 1 as line_number", f"{raw_line('spark')} as text")
 
 
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_number, text): one JSON line per event."""
+    return stored(spark, sf_dir, "json_lines", lambda s, d: _events(s, d).selectExpr(
+        f"{FILE} as file", "event_id + 1 as line_number", f"{json_line('spark')} as text"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed entries straight from the events, without any line parsing."""
     return stored(spark, sf_dir, "entries", _entries)
@@ -186,6 +202,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_EVENTS = f"""v_ev as (select *, {LEVEL} as level, {SOURCE} as source, {message('duckdb')} as message from events)"""
 SQL_LINES = f"""{SQL_EVENTS},
 v_log_lines as (select {FILE} as file, event_id + 1 as line_number, {raw_line('duckdb')} as text from v_ev)"""
+SQL_JSON_LINES = f"""{SQL_EVENTS},
+v_json_lines as (select {FILE} as file, event_id + 1 as line_number, {json_line('duckdb')} as text from v_ev)"""
 SQL_ENTRIES = f"""{SQL_EVENTS},
 v_entries as (select {FILE} as file, event_id + 1 as line_number, ts as timestamp, level as log_level, message,
  source, {ENTRY_IP} as ip_address, cast(null as varchar) as username, {ENTRY_CODE} as error_code from v_ev)"""

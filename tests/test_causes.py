@@ -136,11 +136,43 @@ def test_top_pair_equals_counting_all_pairs(spark, seed):
     best = min(pairs, key=lambda p: (-pairs[p], first[p], p))
     timed = spark.createDataFrame([("f", i, t, w) for i, (t, w) in enumerate(rows)],
                                   "file string, line_number long, timestamp timestamp_ntz, template string")
-    for seeds in (2, 50):
-        e = patterns.correlated_templates(timed, seeds=seeds).first()["evidence"]
+    for seeds, block in ((2, 3), (50, 4096)):
+        e = patterns.correlated_templates(timed, seeds=seeds, block=block).first()["evidence"]
         assert (e["template_a"], e["template_b"], int(e["cooccurrence_windows"])) == (*best, pairs[best])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_pair_of_bitmaps_equals_counting(seed):
+    rng = random.Random(seed)
+    sides = []
+    for side in "ab":
+        rows = [(f"{side}{i}", sorted(rng.sample(range(0, 200, 3), rng.randint(2, 12)))) for i in range(40)]
+        sides.append(sorted(rows, key=lambda r: (-len(r[1]), r[0])))
+
+    def plain(pairs):
+        found = [(-len(s), min(s), *sorted((p, q))) for (p, v), (q, w) in pairs if len(s := set(v) & set(w)) >= 2]
+        return min(found, default=None)
+
+    left, right = sides
+    across = patterns.best_pair(left, right, 2)
+    assert (across and across.rank()) == plain((x, y) for x in left for y in right)
+    inside = patterns.best_pair(left, None, 2)
+    assert (inside and inside.rank()) == plain((x, y) for i, x in enumerate(left) for y in left[i + 1:])
+    assert patterns.best_pair(left, right, -across.rank()[0] + 1) is None
+
+
+def test_a_crowded_window_makes_no_pairs(spark, monkeypatch):
+    """3000 templates in one window, each in one more: rows out of the tasks grow with blocks, not with pairs."""
+    rows = [("f", i, T0, f"t{i:04}") for i in range(3000)]
+    rows += [("f", i, T0 + timedelta(minutes=30 * (1 + i % 1490)), f"t{i:04}") for i in range(3000)]
+    timed = spark.createDataFrame(rows, "file string, line_number long, timestamp timestamp_ntz, template string")
+    made = []
+    monkeypatch.setattr(patterns, "_over_blocks", lambda *a, f=patterns._over_blocks: made.append(f(*a)) or made[-1])
+    e = patterns.correlated_templates(timed, block=1000).first()["evidence"]
+    assert (e["template_a"], e["template_b"], e["cooccurrence_windows"]) == ("t0000", "t1490", "2")
+    assert made[0].count() <= 3
+
+
 def test_runs_across_cells(many_cells):
     rows = [("f", i, T0 + timedelta(seconds=i), "boom") for i in range(40)]
     rows.append(("f", 99, T0 + timedelta(hours=2), "boom"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timberline.functions import timing as M
-from timberline.operators.ordered import order_cells, with_carried, with_previous
+from timberline.operators.ordered import order_cells, with_carried, with_index, with_previous
 from timberline.operators.templates import with_template
 from timberline.session import cut
 
@@ -78,41 +82,118 @@ def repeating_sequences(steps: DataFrame, gap_seconds: int = 120) -> DataFrame:
         F.lit(2))
 
 
-def correlated_templates(timed: DataFrame, minutes: int = 15, seeds: int = 50) -> DataFrame:
+def _numbered_windows(timed: DataFrame, window: int) -> DataFrame:
+    """(template, slot, no): the windows of each template, numbered in order of time from 0."""
+    seen = cut(timed.select(M.time_bucket("timestamp", window).alias("slot"), "template").distinct())
+    slots = seen.select("slot").distinct()
+    numbers = with_index(order_cells(slots, ["slot"]), ["slot"], "no").select(F.col("slot").alias("_slot"), "no")
+    return cut(seen.join(numbers, F.col("slot") == F.col("_slot")).drop("_slot"))
+
+
+class Pair(NamedTuple):
+    """Two templates: shared windows, the first of them, and the names in order; larger pairs come first."""
+
+    k: int
+    first: int
+    a: str
+    b: str
+
+    def rank(self) -> tuple:
+        return -self.k, self.first, self.a, self.b
+
+
+def best_pair(left: list[tuple[str, list[int]]], right: list[tuple[str, list[int]]] | None, least: int) -> Pair | None:
+    """The pair with most shared windows, at least ``least``; ties to the earliest shared window, then names.
+
+    Sides are (name, windows), from most windows to fewest; with no right side, pairs within the left one. Windows become
+    bitmaps over those that occur here. A row meets only partners that have as many windows as the best pair found so far, and
+    reading ends where no row has.
+    """
+    slots = np.unique(np.concatenate([np.array(w) for _, w in (left + (right or []))]))
+
+    def bitmaps(side):
+        dense = np.zeros((len(side), -(-len(slots) // 64) * 64), np.uint8)
+        for row, (_, windows) in zip(dense, side):
+            row[np.searchsorted(slots, windows)] = 1
+        return np.packbits(dense, axis=1, bitorder="little").view("<u8"), np.array([len(w) for _, w in side])
+
+    (x, nx), (y, ny) = bitmaps(left), bitmaps(right if right is not None else left)
+    names = [n for n, _ in (right if right is not None else left)]
+    best = None
+    for i, (name, _) in enumerate(left):
+        if nx[i] < least:
+            break
+        low, high = (i + 1 if right is None else 0), int(np.searchsorted(-ny, -least, side="right"))
+        if low >= high:
+            continue
+        both = y[low:high] & x[i]
+        k = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+        top = int(k.max())
+        if top < least:
+            continue
+        tied = np.flatnonzero(k == top)
+        bits = np.unpackbits(both[tied].view(np.uint8), axis=1, bitorder="little")
+        first = slots[bits.argmax(axis=1)]
+        for t in np.flatnonzero(first == first.min()):
+            other = names[low + tied[t]]
+            pair = Pair(top, int(first[t]), min(name, other), max(name, other))
+            if best is None or pair.rank() < best.rank():
+                best = pair
+        least = max(least, top)
+    return best
+
+
+def _over_blocks(kinds: DataFrame, bound: int, block: int) -> DataFrame:
+    """(k, first, template, other): the best pair of every two blocks of ``kinds`` (template, windows, n).
+
+    Blocks follow one another from most windows to fewest; two of them can only beat ``bound`` if both reach it. Pairs stay inside
+    the tasks, one row per two blocks comes out.
+    """
+    order = ["_few", "template"]
+    cells = order_cells(kinds.withColumn("_few", -F.col("n")), order)
+    dealt = cut(with_index(cells, order, "_at").select("template", "windows", "n", F.floor(F.col("_at") / block).alias("block")))
+    tops = cut(dealt.groupBy("block").agg(F.max("n").alias("most")).filter(F.col("most") >= bound))
+    two = (tops.select(F.col("block").alias("i")).join(tops.select(F.col("block").alias("j")), F.col("i") <= F.col("j"))
+           .select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["n"], r["template"]))
+        left, right = ([(r["template"], r["windows"]) for r in rows if r["block"] == b] for b in (i, j))
+        found = best_pair(left, None if i == j else right, bound)
+        return pa.Table.from_pylist([found._asdict()] if found else [], schema=pa.schema(
+            [("k", pa.int64()), ("first", pa.int64()), ("a", pa.string()), ("b", pa.string())]))
+
+    return (dealt.join(two, "block").groupBy("i", "j").applyInArrow(run, "k bigint, first bigint, a string, b string")
+            .select("k", "first", F.col("a").alias("template"), F.col("b").alias("other")))
+
+
+def correlated_templates(timed: DataFrame, minutes: int = 15, seeds: int = 50, block: int = 4096) -> DataFrame:
     """The two templates sharing most time windows.
 
-    Pairs are not listed per window. The best pair among the ``seeds`` most widespread
-    templates gives a lower bound m; only templates seen in at least m windows can do
-    better, and two of them share m windows only if they share one of their
-    (windows - m + 1) least crowded ones, so pairs are formed there alone and then
-    counted exactly.
+    Pairs are not listed. Templates seen in exactly the same windows are one kind, of which the two first by name
+    matter; the best pair of a kind and of the ``seeds`` most widespread templates is a lower bound m. The kinds seen in at least m
+    windows are dealt to blocks by falling number of windows, and the bitmaps of every two blocks are compared in a task,
+    which gives up what can't reach the best pair found.
     """
     window = max(minutes * 2, 30)
     if 60 % window:
         window = 60
-    # distinct windows per template: small beside the rows, and read several times
-    seen = cut(timed.select(M.time_bucket("timestamp", window).alias("slot"), "template").distinct())
+    seen = _numbered_windows(timed, window)
     spread = seen.groupBy("template").agg(F.count("*").alias("n"))
     head = spread.orderBy(F.col("n").desc(), "template").limit(seeds).select("template")
-    few = seen.join(F.broadcast(head), "template")  # at most `seeds` templates per window
-    both = few.join(few.select("slot", F.col("template").alias("other")), "slot").filter("template < other")
-    bound = F.greatest(F.lit(2), F.coalesce(
-        both.groupBy("template", "other").agg(F.count("*").alias("k")).agg(F.max("k")).scalar(), F.lit(2)))
-    able = seen.join(spread, "template").filter(F.col("n") >= bound)
-    crowd = able.groupBy("slot").agg(F.count("*").alias("crowd"))
-    lists = (
-        able.join(crowd, "slot").groupBy("template")
-        .agg(F.array_sort(F.collect_list(F.struct("crowd", "slot"))).alias("windows")))
-    prefix = F.slice("windows", F.lit(1), (F.size("windows") - bound + 1).cast("int"))
-    posted = lists.select("template", F.explode(prefix).alias("w")).select("template", F.col("w.slot").alias("slot"))
-    pairs = (posted.join(posted.select("slot", F.col("template").alias("other")), "slot")
-             .filter("template < other").select("template", "other").distinct())
-    slots = lists.select("template", F.transform("windows", lambda w: w["slot"]).alias("slots"))
-    shared = F.array_intersect("slots", "other_slots")
-    counted = (
-        pairs.join(slots, "template")
-        .join(slots.select(F.col("template").alias("other"), F.col("slots").alias("other_slots")), "other")
-        .select("template", "other", F.size(shared).alias("k"), F.array_min(shared).alias("first")))
+    few = seen.join(F.broadcast(head), "template").select("no", "template")  # at most `seeds` templates per window
+    both = few.join(few.select("no", F.col("template").alias("other")), "no").filter("template < other")
+    shared = both.groupBy("template", "other").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    sets = (seen.groupBy("template").agg(F.array_sort(F.collect_list("no")).alias("windows"))  # at most one per window
+            .withColumn("n", F.size("windows").cast("bigint")).filter("n >= 2"))
+    by_name = Window.partitionBy("windows").orderBy("template")
+    first_two = cut(sets.withColumn("_place", F.row_number().over(by_name)).filter(F.col("_place") <= 2))
+    twins = first_two.groupBy("windows", "n").agg(F.min("template").alias("template"), F.max("template").alias("other")).filter(
+        "template < other").select(F.col("n").alias("k"), F.col("windows")[0].alias("first"), "template", "other")
+    bound = max(2, shared or 0, twins.agg(F.max("k")).first()[0] or 0)
+    kinds = first_two.filter((F.col("_place") == 1) & (F.col("n") >= bound)).select("template", "windows", "n")
+    counted = twins.unionByName(_over_blocks(kinds, bound, block))
     top = counted.filter("k >= 2").orderBy(F.col("k").desc(), "first", "template", "other").limit(1)
     k = F.col("k")
     return _insight(

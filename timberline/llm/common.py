@@ -25,12 +25,15 @@ def worker_state(key: object, make: Callable[[], Any]) -> Any:
 
     Functions are shipped by value, so their own globals do not outlive a task; the state
     hangs on a module entry of the worker instead. It holds caches and loaded models only:
-    a lost worker builds it again.
+    a lost worker builds it again. A worker keeps one value: workers are reused from one operator
+    to the next, and what the last one cached would stay beside what the next one fills.
     """
     home = sys.modules.setdefault("_timberline_worker", types.ModuleType("_timberline_worker"))
-    if key not in home.__dict__:
-        home.__dict__[key] = make()
-    return home.__dict__[key]
+    kept = home.__dict__.setdefault("_kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]],

@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import alerts
@@ -62,6 +63,40 @@ def test_json_lines_arrays_and_numeric_levels(spark, tmp_path):
     assert by["r.json", 3]["source"] == "svc"
 
 
+def _odd_value(rng, depth=0):
+    kind = rng.randrange(7 if depth < 3 else 4)
+    if kind < 2:
+        return "".join(rng.choice(['"', "\\", ",", "[", "]", "{", "}", "é", "x", "\n", " "]) for _ in range(rng.randint(0, 8)))
+    if kind < 4:
+        return rng.choice([None, True, -1.5, 7])
+    if kind == 4:
+        return [_odd_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {f"k{i},": _odd_value(rng, depth + 1) for i in range(rng.randint(0, 4))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_arrays_are_cut_at_the_commas_between_items(many_cells, tmp_path, seed):
+    """Items with quotes, escapes, commas and brackets in strings, over several blocks, compact and spread over lines."""
+    rng = random.Random(seed)
+    want = {}
+    for name, indent, n in (("a.json", None, 300), ("b.json", 2, 200), ("c.json", None, 1), ("d.json", None, 0)):
+        items = [_odd_value(rng, 0) if rng.random() < 0.3 else {"id": i, "v": _odd_value(rng, 1)} for i in range(n)]
+        (tmp_path / name).write_text("  " + json.dumps(items, indent=indent, ensure_ascii=bool(rng.getrandbits(1))) + " \n")
+        want |= {(name, k + 1): v for k, v in enumerate(items) if isinstance(v, dict)}
+    for name, text in (("open.json", '[{"a": 1}, {"b": 2}'), ("twice.json", '[{"a": 1}], [{"b": 2}]'), ("gap.json", '[{"a": 1},, {"b": 2}]'),
+                       ("quote.json", '[{"a": "1}, {"b": 2}]'), ("bare.json", '[{"a": 1}, {b}]')):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "lines.json").write_text('{"a": [1, 2]}\n{"b": 3}\n')
+    before = many_cells.conf.get("spark.sql.files.maxPartitionBytes")
+    many_cells.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = json_logs.json_scan(many_cells, str(tmp_path)).collect()
+    finally:
+        many_cells.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r["file"].rsplit("/", 1)[1], r["line_number"]): json.loads(r["text"]) for r in rows}
+    assert got == want | {("lines.json", 1): {"a": [1, 2]}, ("lines.json", 2): {"b": 3}}
+
+
 def test_monitor_reads_new_files_once(spark, tmp_path):
     logs, out, state = tmp_path / "logs", tmp_path / "out", tmp_path / "state"
     logs.mkdir()

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timberline import constants as K
 from timberline.functions import fields as L, text as T
+from timberline.operators.ordered import order_cells, with_carried, with_previous, with_running_sum
 from timberline.operators.skew import attach
 from timberline.session import cut
-from timberline.sources.text import scan_lines
+from timberline.sources.text import accepted, scan_lines
 
 
 def json_scan(spark: SparkSession, path: str | list[str], extensions: list[str] | None = None,
@@ -18,8 +17,7 @@ def json_scan(spark: SparkSession, path: str | list[str], extensions: list[str]
     """(file, line_number, text): one row per line or per array item that is an object.
 
     A file is an array when its first character is ``[``. Line numbers start at the first
-    line that is not blank. An array file is one value and has to fit in a row; other files are read once,
-    line by line.
+    line that is not blank. Array files are read in pieces, see ``array_items``; other files line by line.
     """
     lines = scan_lines(spark, path, None, extensions, max_bytes, keep_empty=True).withColumn(
         "text", T.strip(F.col("text")))
@@ -29,16 +27,69 @@ def json_scan(spark: SparkSession, path: str | list[str], extensions: list[str]
         .select("file", F.col("o.line_number").alias("first"), F.col("o.mark").alias("mark"), "n"))
     told = attach(lines, opening, ["file"], "n").filter("text <> '' and mark <> '['").select(
         "file", (F.col("line_number") - F.col("first") + 1).alias("line_number"), "text")
-    arrays = [unquote(r["file"]) for r in opening.filter("mark = '['").select("file").collect()]
-    if not arrays:
+    arrays = opening.filter("mark = '['").select("file", "n")
+    if arrays.isEmpty():
         return told
-    # the names of array files go to the reader, as any list of paths does; the other files aren't opened again
-    whole = spark.read.text(arrays, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), T.strip(F.col("value")).alias("body"))
-    items = whole.select("file", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "text"))
-    objects = items.filter(F.col("text").startswith("{")).select(
-        "file", (F.col("pos") + 1).cast("bigint").alias("line_number"), "text")
-    return told.unionByName(objects)
+    return told.unionByName(array_items(spark, path, arrays, extensions, max_bytes))
+
+
+def _depth(text: Column) -> Column:
+    """Brackets opened less brackets closed outside strings."""
+    outside = F.regexp_replace(text, '"[^"]*("|$)', "")
+    return (F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))).cast("bigint")
+
+
+def array_items(spark: SparkSession, path: str | list[str], arrays: DataFrame, extensions: list[str] | None = None,
+                max_bytes: int | None = None) -> DataFrame:
+    """(file, line_number, text): the objects of JSON array files, numbered by their place in the array.
+
+    ``arrays`` names the files (file, and n, some weight of each). They are read in pieces between commas, by as many tasks as they
+    have blocks. Whether a comma parts two items depends on all before it: a piece changes the state (inside a string, depth of
+    brackets) by its number of quotes and by its brackets, counted for either start. Running sums of these small numbers over
+    the pieces give the state at each comma; pieces are then put together to items. A file that isn't one whole array
+    of well-formed items gives no rows.
+    """
+    pieces = (spark.read.option("lineSep", ",").text(path).filter(accepted(extensions, max_bytes))
+              .select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+                      F.col("_metadata.file_block_start").alias("block"))
+              .withColumn("line_number", F.monotonically_increasing_id()))
+    bare = F.regexp_replace("text", r"(?s)\\.", "")  # an escape never reaches over a comma
+    quotes = (F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))).cast("bigint")
+    small = pieces.select("file", "block", "line_number", quotes.alias("q"), _depth(bare).alias("d0"),
+                          _depth(F.concat(F.lit('"'), bare)).alias("d1"))
+    order = ["file", "block", "line_number"]
+    cells = order_cells(attach(small, arrays, ["file"], "n").filter("n is not null").drop("n"), order)
+    steps = with_running_sum(with_previous(cells, order, ["file"]), order, F.col("q"), "_q")
+    first = F.coalesce(F.col("prev.file") != F.col("file"), F.lit(True))
+    steps = with_carried(steps, order, F.when(first, F.col("_q") - F.col("q")), "_q0")
+    inside = (F.col("_q") - F.col("q") - F.col("_q0")) % 2 == 1
+    steps = steps.withColumn("first", first).withColumn("inside", inside).withColumn(
+        "d", F.when(F.col("inside"), F.col("d1")).otherwise(F.col("d0")))
+    steps = with_running_sum(steps, order, F.col("d"), "_d")
+    steps = with_carried(steps, order, F.when(F.col("first"), F.col("_d") - F.col("d")), "_d0")
+    depth = F.col("_d") - F.col("d") - F.col("_d0")
+    steps = steps.withColumn("depth", depth).withColumn(
+        "begins", (F.col("first") | (~F.col("inside") & (F.col("depth") == 1))).cast("bigint"))
+    steps = with_running_sum(steps, order, F.col("begins"), "_n")
+    steps = with_carried(steps, order, F.when(F.col("first"), F.col("_n") - 1), "_n0")
+    places = cut(steps.select(*order, (F.col("_n") - F.col("_n0")).alias("item"), "first", "inside", "depth",
+                              (F.col("depth") + F.col("d")).alias("after"), ((F.col("inside").cast("int") + F.col("q")) % 2).alias("open")))
+    ends = places.groupBy("file").agg(F.max_by(F.struct("after", "open", "item"), F.struct("block", "line_number")).alias("end"),
+                                      F.min(F.when(~F.col("first"), F.col("depth"))).alias("least"))
+    broken = ends.filter("end.after <> 0 or end.open <> 0 or least < 1").select("file")
+    put = (pieces.join(places.select(*order, "item", "after"), order).groupBy("file", "item")
+           .agg(F.array_sort(F.collect_list(F.struct("block", "line_number", "text"))).alias("parts"),
+                F.min("after").alias("after")))
+    body = F.array_join(F.transform("parts", lambda p: p["text"]), ",")
+    body = F.when(F.col("item") == 1, F.regexp_replace(body, r"^\s*\[", "")).otherwise(body)
+    body = T.strip(F.when(F.col("after") == 0, F.regexp_replace(body, r"\]\s*$", "")).otherwise(body))
+    read = put.select("file", F.col("item").alias("line_number"), "after", body.alias("body")).withColumn(
+        "values", F.from_json(F.concat(F.lit("["), "body", F.lit("]")), "array<string>"))
+    empty = (F.col("line_number") == 1) & (F.col("after") == 0) & (F.col("body") == "")
+    items = cut(read.select("file", "line_number", F.col("body").startswith("{").alias("is_object"), F.when(F.size("values") == 1, F.col("values")[0]).alias("text"),
+                            (~empty & (F.coalesce(F.size("values"), F.lit(-1)) != 1)).alias("bad")))
+    broken = broken.unionByName(items.filter("bad").select("file")).distinct()
+    return items.filter("is_object and text is not null").join(broken, "file", "left_anti").select("file", "line_number", "text")
 
 
 def json_entries(lines: DataFrame) -> DataFrame:

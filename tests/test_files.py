@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import alerts
 from timberline.sources import json_logs, text as tx
-from timberline.streaming import alerts as sa, counts, monitor, partial, tail
+from timberline.streaming import alerts as sa, counts, follow, monitor, partial, tail
 
 T0 = datetime(2024, 1, 15, 10, 0, 0)
 
@@ -208,3 +209,52 @@ def test_rows_are_added_up_before_the_shuffle(spark):
     got = partial.per_second(rows, ["template"]).collect()
     assert len(got) == 63 and sum(r["n"] for r in got) == 9000
     assert min(r["first"] for r in got) == T0 and max(r["last"] for r in got) == T0 + timedelta(milliseconds=7 * 8999)
+
+
+def _followed(spark, tmp_path, **options):
+    """Lines read so far by one query that is stopped and started again."""
+    q = (tail.tail_stream(spark, str(tmp_path / "logs"), **options).writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "follow-cp")).trigger(availableNow=True).start(str(tmp_path / "follow-out")))
+    q.awaitTermination()
+    return Counter(r["text"] for r in spark.read.schema("text string, file string, block bigint").parquet(str(tmp_path / "follow-out")).collect())
+
+
+def test_tail_reads_appended_complete_lines(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text("line1\nhalf")
+    assert _followed(spark, tmp_path) == {}  # from the end
+    with (logs / "a.log").open("a") as f:
+        f.write(" whole\r\n\nline2\nopen")
+    (logs / "b.log").write_text("new file\n")
+    assert _followed(spark, tmp_path) == {"half whole": 1, "line2": 1, "new file": 1}
+    assert _followed(spark, tmp_path).total() == 3
+    with (logs / "a.log").open("ab") as f:
+        f.write(b" end \xff\n")
+    assert _followed(spark, tmp_path) == {"half whole": 1, "line2": 1, "new file": 1, "open end \ufffd": 1}
+
+
+def test_tail_follows_rotation_and_truncation(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "s.log").write_text("line1\nline2\n")
+    assert _followed(spark, tmp_path) == {}
+    with (logs / "s.log").open("a") as f:
+        f.write("last of old\n")
+    (logs / "s.log").rename(logs / "s.log.1")
+    (logs / "s.log").write_text("first of new, longer than all that was read of the old one\n")
+    want = Counter({"last of old": 1, "first of new, longer than all that was read of the old one": 1})
+    assert _followed(spark, tmp_path) == want
+    (logs / "s.log").write_text("cut\n")
+    assert _followed(spark, tmp_path) == want + Counter({"cut": 1})
+
+
+def test_chunks_of_a_followed_file_hold_every_line_once(tmp_path):
+    rng = random.Random(2)
+    lines = ["x" * rng.choice([0, 1, 5, 40]) + str(i) for i in range(500)]
+    (tmp_path / "f.log").write_text("\n".join(lines) + "\n")
+    for chunk in (1, 7, 64, 10 ** 6):
+        reader = follow.LineReader({"path": str(tmp_path), "chunk": str(chunk), "since": "0"})
+        spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        got = [t for s in spans for b in reader.read(s) for t in b["text"].to_pylist()]
+        assert got == lines

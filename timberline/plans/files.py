@@ -248,7 +248,7 @@ ORACLES["dir_stream"] = f"with {_FILES} select file, seg, text from n where text
 
 @query("tail_stream")
 def _(spark, d):
-    return _place(_drain(tl.tail_stream(spark, line_files(spark, d), files_per_trigger=1000), spark, "tail-stream"))
+    return _place(_drain(tl.tail_stream(spark, line_files(spark, d), from_start=True, recursive=True).drop("block"), spark, "tail-stream"))
 
 
 ORACLES["tail_stream"] = ORACLES["dir_stream"]

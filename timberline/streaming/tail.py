@@ -1,4 +1,4 @@
-"""Streams of log lines from a folder of rolled files."""
+"""Streams of log lines from a folder: files as they appear, and lines as they are appended."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberline.sources.text import accepted, decoded
+from timberline.streaming.follow import FORMAT, FollowedLines
 
 
 def dir_stream(spark: SparkSession, folder: str, extensions: list[str] | None = None,
@@ -20,18 +21,15 @@ def dir_stream(spark: SparkSession, folder: str, extensions: list[str] | None =
                     F.col("_metadata.file_block_start").alias("block")))
 
 
-def tail_stream(spark: SparkSession, folder: str, since: datetime | None = None,
-                files_per_trigger: int | None = None) -> DataFrame:
-    """New complete lines only: files written after ``since``, empty lines dropped.
+def tail_stream(spark: SparkSession, folder: str, since: datetime | None = None, from_start: bool = False,
+                recursive: bool = False) -> DataFrame:
+    """(text, file, block): complete lines appended to the files of a folder, empty lines left out.
 
-    A rotated file is a new file and is read from its start; the query's checkpoint
-    remembers what was read.
+    Files that are there when the query first starts are followed from their end; with ``since``, those changed later are read
+    from their start, with ``from_start`` all are. New files are read whole. A half-written last line waits for its
+    end. A file that was replaced or cut is read from its start, a renamed one goes on where it was; the query's
+    checkpoint remembers what was read. Offsets are kept per file, so old files should leave the folder in time.
     """
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    lines = reader.load(folder)
-    if since is not None:
-        lines = lines.filter(F.col("_metadata.file_modification_time") > F.lit(since))
-    return (lines.select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("file"))
-            .filter("text <> ''"))
+    spark.dataSource.register(FollowedLines)
+    at = 0 if from_start else since.timestamp() if since is not None else ""
+    return (spark.readStream.format(FORMAT).option("recursive", str(recursive).lower()).option("since", str(at)).load(folder))

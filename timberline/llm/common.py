@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import sys
 import types
@@ -32,18 +33,19 @@ def worker_state(key: object, make: Callable[[], Any]) -> Any:
     kept = home.__dict__.setdefault("_kept", {})
     if key not in kept:
         kept.clear()
+        gc.collect()
         kept[key] = make()
     return kept[key]
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]],
-             schema: str, at_once: int | None = None) -> DataFrame:
+             schema: str, at_once: int = 1000) -> DataFrame:
     """Map ``columns`` of ``df`` through ``fn``, which gets Python lists per Arrow batch and yields
-    dicts of lists or arrays, one per output batch. With ``at_once``, of so many rows of a batch at a time."""
+    dicts of lists or arrays, one per output batch; ``at_once`` rows of a batch at a time, as texts may be long."""
     target = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _parsed(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.slice(a, at_once or len(b)) for b in batches for a in range(0, len(b), at_once or len(b)))
+        parts = (b.slice(a, at_once) for b in batches for a in range(0, len(b), at_once))
         lists = ([b.column(i).to_pylist() for i in range(len(columns))] for b in parts)
         for out in fn(lists):
             yield pa.RecordBatch.from_arrays(

@@ -225,8 +225,7 @@ def summary_report(reports: DataFrame, root_causes: DataFrame, patterns: DataFra
         t["total"].alias("total_entries"), t["hits"].alias("anomaly_count"),
         F.when(t["total"] > 0, F.round(t["hits"] / t["total"] * 100.0, 2)).otherwise(0.0).alias("anomaly_rate"),
         r["risk_level"].alias("risk_level"), r["risk_score"].alias("risk_score"), "overall_confidence",
-        F.when(weak, "insufficient evidence, possible causes include...")
-        .otherwise("multiple indicators align with the grouped anomalies.").alias("evidence_note"),
+        F.when(weak, K.EVIDENCE_WEAK).otherwise(K.EVIDENCE_STRONG).alias("evidence_note"),
         actions.alias("recommended_actions"),
         F.transform(top3, lambda x: x["title"]).alias("top_root_causes"),
         F.transform(F.slice(p["list"], 1, 3), lambda x: x["title"]).alias("top_patterns"),

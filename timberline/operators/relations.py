@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from timberline import constants as K
 from timberline.functions import text as T, timing as M
 
 _KEYS = ["ip", "code", "src", "slot"]
@@ -55,9 +56,8 @@ def incidents(root_causes: DataFrame, groups: DataFrame) -> DataFrame:
         "title", F.lit("MEDIUM").alias("severity"), "confidence",
         F.array_compact(F.array(T.blank_to_null(F.col("src")))).alias("affected_components"),
         F.col("size").alias("log_count"),
-        F.lit("Logs share entities and time proximity, indicating a possibly common trigger.").alias("summary"),
-        T.lit_array(["Inspect correlated logs as a group before single-line remediation.",
-                     "Validate shared entity health and recent changes."]).alias("actions"),
+        F.lit(K.GROUP_SUMMARY).alias("summary"),
+        T.lit_array(K.GROUP_ACTIONS).alias("actions"),
         F.lit(1).alias("kind"), F.lpad(F.col("group_id").cast("string"), 20, "0").alias("tie"))
     return (causes.unionByName(related)
             .orderBy(T.severity_rank("severity").desc(), F.col("confidence").desc(), "kind", "tie")

@@ -229,3 +229,18 @@ def _(spark, d):
     groups = rl.relationship_groups(R.anomalies(spark, d), minutes=10)
     return rl.incidents(causes(spark, d)[0], groups).withColumn("actions", F.array_join("actions", " | ")).withColumn(
         "affected_components", F.array_join("affected_components", ","))
+
+
+_NEAR = f"""{_MERGED}, ik as (select file, line_number, coalesce(ip_address, '') as ip, coalesce(error_code, '') as code,
+ coalesce(source, '') as src, strftime({S.bucket('timestamp', 10)}, '%Y-%m-%dT%H:%M:%S') as slot from v_an),
+ig as (select ip, code, src, slot, count(*) as size, min((file, line_number)) as seen from ik group by all having count(*) >= 2),
+it as (select *, row_number() over (order by size desc, seen) as group_id from ig),
+i_first as (select *, row_number() over (order by confidence desc, first_file, first_line) as p from told qualify p <= 8),
+i_all as (select title, severity, round(confidence, 3) as confidence, coalesce(dominant_source, '') as affected_components, event_count as log_count,
+ summary, array_to_string(s[1:4], ' | ') as actions, 0 as kind, first_file || ':' || lpad(cast(first_line as varchar), 20, '0') as tie from i_first
+ union all select case when code || ip || src = '' then 'Relationship group' else 'Relationship group: ' || concat_ws(', ',
+ case when code <> '' then 'code ' || code end, case when ip <> '' then 'IP ' || ip end, case when src <> '' then 'source ' || src end) end,
+ 'MEDIUM', round(least(1e0, 0.35e0 + size * 0.1e0), 3), src, size, {S.q(K.GROUP_SUMMARY)}, {S.q(' | '.join(K.GROUP_ACTIONS))}, 1,
+ lpad(cast(group_id as varchar), 20, '0') from it where group_id <= 3 - (select count(*) from i_first))"""
+ORACLES["incidents"] = f"""with recursive {_NEAR} select title, severity, confidence, affected_components, log_count, summary, actions from i_all
+ order by {S.rank('severity')} desc, confidence desc, kind, tie limit 10"""

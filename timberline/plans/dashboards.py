@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from timberline import constants as K
 from timberline.operators import clusters as cl, dashboard as db, evaluate as ev, patterns as pt, sessions as se
 from timberline.plans import causes as C, parsing as P, reports as R, sql as S, views as V
+from timberline.session import cut
 
 QUERIES = {}
 ORACLES = {}
@@ -163,6 +164,60 @@ def _(spark, d):
     return db.overview_charts(R.reports(spark, d), cl.cluster_distribution(R.anomalies(spark, d)), HOURS)
 
 
+@query("overview_series")
+def _(spark, d):
+    """The charts that don't rest on clusters, all series in one table."""
+    return db.overview_charts(R.reports(spark, d), None, HOURS).withColumn("value", F.round("value", 6))
+
+
+_BUCKET = S.bucket("timestamp", 15)
+_LINE = f"""{R.SQL_ANOMALIES}, o_ref as (select max(timestamp) as r, max(timestamp) - interval {HOURS} hours as c from v_anom),
+o_rec as (select {_BUCKET} as slot, count(*) as n from v_anom, o_ref where timestamp >= c group by 1),
+o_all as (select unnest(generate_series({S.bucket('c', 15)}, {S.bucket('r', 15)}, interval 15 minutes)) as slot from o_ref),
+o_tl as (select o_all.slot, coalesce(n, 0) as n from o_all left join o_rec on o_all.slot = o_rec.slot),
+o_st as (select avg(n) as m, stddev_samp(n) as sd from o_tl)"""
+_TREND = f"""{V.SQL_ENTRIES}, o_rec as (select {_BUCKET} as slot, count(*) as n from v_entries
+ where timestamp >= (select max(timestamp) - interval {HOURS} hours from v_entries) group by 1),
+o_all as (select unnest(generate_series(min(slot), max(slot), interval 15 minutes)) as slot from o_rec)"""
+
+
+def _chart(name: str, key: str, time: str, value: str, sql: str) -> str:
+    return f"select '{name}' as chart, {key} as key, {time} as time, round(cast({value} as double), 6) as value from ({sql})"
+
+
+_NO_TIME = "cast(null as timestamp)"
+ORACLES["overview_series"] = " union all ".join([
+    _chart("metrics", "'total_entries'", _NO_TIME, "n", f"with {R.SQL_REPORTS} select count(*) as n from v_reports"),
+    _chart("metrics", "'anomaly_count'", _NO_TIME, "n", f"with {R.SQL_ANOMALIES} select count(*) as n from v_anom"),
+    _chart("anomaly_timeline", "''", "slot", "n", f"with {_LINE} select slot, n from o_tl"),
+    _chart("anomaly_spike_markers", "''", "slot", "n",
+           f"with {_LINE} select slot, case when sd > 0 and (n - m) / sd >= 2 then 1 else 0 end as n from o_tl, o_st"),
+    _chart("severity_distribution_percent", "severity", _NO_TIME, "percent", ORACLES["severity_percent"]),
+    _chart("error_frequency_heatmap", "cat", "bucket_start", "n",
+           f"unpivot ({ORACLES['category_heatmap']}) on {', '.join(_CATS)} into name cat value n"),
+    _chart("top_ip_sources", "ip", _NO_TIME, "count", ORACLES["top_ips"]),
+    _chart("error_type_ranking", "error_type", _NO_TIME, "count", ORACLES["error_type_ranking"]),
+    _chart("log_volume_trend", "''", "slot", "n",
+           f"with {_TREND} select o_all.slot, coalesce(n, 0) as n from o_all left join o_rec on o_all.slot = o_rec.slot"),
+    _chart("error_category_pie", "category", _NO_TIME, "count", ORACLES["category_pie"])])
+
+
+@query("cluster_totals")
+def _(spark, d):
+    """What must hold for any clustering: sizes are those of the assignments, and no row is lost or assigned twice."""
+    clusters, assigned = (cut(x) for x in cl.cluster_logs(V.entries(spark, d), max_clusters=20))
+    counted = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    met = clusters.join(counted, clusters["cluster_id"].eqNullSafe(counted["cluster_id"]), "full")
+    return assigned.agg(F.count("*").alias("assigned"), F.countDistinct("file", "line_number").alias("entries")).select(
+        "*", met.agg(F.sum("cluster_size")).scalar().alias("clustered"),
+        met.agg(F.count_if(F.coalesce(F.col("cluster_size") != F.col("n"), F.lit(True)))).scalar().alias("wrong_sizes"),
+        clusters.agg(F.count("*") <= 20).scalar().alias("few_enough"))
+
+
+ORACLES["cluster_totals"] = """select count(*) as assigned, count(*) as entries, count(*)::bigint as clustered, 0::bigint as wrong_sizes,
+ true as few_enough from events"""
+
+
 @query("summary_report")
 def _(spark, d):
     found = pt.detect_patterns(R.anomalies(spark, d), gap_seconds=C.GAP)

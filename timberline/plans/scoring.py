@@ -108,6 +108,18 @@ ORACLES["evaluate_anomalies"] = f"""with {R.SQL_SCORED} select file, line_number
  is_anomaly, anomaly_type, details from v_scored"""
 
 
+@query("forest_range")
+def _(spark, d):
+    """What must hold for any forest: a score for every row, the least 0 and the most 1, all between."""
+    score = F.col("ml_score")
+    return fo.isolation_forest(an.with_features(V.entries(spark, d))).agg(
+        F.count(score).alias("scored"), F.min(score).alias("least"), F.max(score).alias("most"),
+        F.count_if(~score.between(0, 1)).alias("outside"))
+
+
+ORACLES["forest_range"] = "select count(*) as scored, 0e0 as least, 1e0 as most, 0::bigint as outside from events"
+
+
 @query("evaluate_anomalies_forest")
 def _(spark, d):
     return R.scored(spark, d, forest=True).select(*KEY, "confidence", "ml_score", *_VERDICT)

@@ -48,6 +48,35 @@ def test_bad_bytes_and_encodings(spark, tmp_path):
     assert tx.scan_lines(spark, str(tmp_path), encoding="ISO-8859-1").first()["text"] == "ok \xff end"
 
 
+@pytest.mark.parametrize("codec, encoding", [("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"), ("utf-32-le", "UTF-32LE")])
+def test_wide_lines_end_on_code_units(spark, tmp_path, codec, encoding):
+    """Characters whose bytes look like a line end when read across two code units, over several blocks."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["\u0a05", "\u0100", "\u0a00", "a", "\u000b", "\u010a", "\U0001f600"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    (tmp_path / "w.log").write_bytes(("\ufeff" + "\n".join(texts) + "\n").encode(codec))
+    (tmp_path / "v.log").write_bytes("plain\r\nlines\n".encode(codec))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = tx.scan_lines(spark, str(tmp_path), encoding=encoding, keep_empty=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r["file"][-5:], r["line_number"]): r["text"] for r in rows}
+    assert got == {("w.log", i + 1): t for i, t in enumerate(texts)} | {("v.log", 1): "plain", ("v.log", 2): "lines"}
+
+
+def test_stream_of_one_folder_only(spark, tmp_path):
+    (tmp_path / "a b" / "sub").mkdir(parents=True)
+    (tmp_path / "a b" / "x.log").write_text("top\n")
+    (tmp_path / "a b" / "sub" / "y.log").write_text("below\n")
+    for recursive, want in ((False, {"top"}), (True, {"top", "below"})):
+        stream = tail.dir_stream(spark, str(tmp_path / "a b"), recursive=recursive)
+        sub = tmp_path / str(recursive)
+        sub.mkdir()
+        _finish(stream.select("text"), sub)
+        assert {r["text"] for r in spark.read.parquet(str(sub / "sink")).collect()} == want
+
+
 def test_json_lines_arrays_and_numeric_levels(spark, tmp_path):
     (tmp_path / "l.json").write_text('\n{"time": 1705314645123, "level": 50, "msg": "boom"}\nnot json\n'
                                      '{"arbitrary_key": "value"}\n')

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberline.operators import deep as dp
@@ -72,6 +75,45 @@ def _(spark, d):
 ORACLES["scan_lines"] = f"with {_FILES} select file, seg, line_number, text from n where text <> ''"
 
 
+@query("scan_encodings")
+def _(spark, d):
+    """Every event's message in three encodings, each read back as it was written."""
+    kinds = {"UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "ISO-8859-1": "latin-1"}
+    found = None
+    for name, codec in kinds.items():
+        texts = V._events(spark, d).select(F.floor(F.col("event_id") / SEGMENT).alias("seg"), "event_id", F.concat(
+            F.lit("\u00e9 "), "message").alias("text"))
+
+        path = _once(spark, d, f"enc-{name}", lambda p: texts.withColumn("path", F.concat(F.lit(f"{p}/file={name}/seg="), "seg", F.lit("/a.txt")))
+                     .groupBy("path").applyInArrow(_encoder(codec), "path string, data binary").foreachPartition(_write_bytes))
+        rows = _place(tx.scan_lines(spark, path, encoding=name)).select("file", "seg", "line_number", "text")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _encoder(codec: str):
+    def encode(table: pa.Table) -> pa.Table:
+        return pa.table({"path": [table["path"][0].as_py()], "data": [b"".join(
+            (r["text"] + "\n").encode(codec) for r in sorted(table.to_pylist(), key=lambda r: r["event_id"]))]})
+
+    return encode
+
+
+def _write_bytes(rows) -> None:
+    import os
+
+    for r in rows:
+        path = re.sub("^file:/*", "/", r["path"])
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(r["data"])
+
+
+ORACLES["scan_encodings"] = f"""with {V.SQL_EVENTS}, e as (select event_id // {SEGMENT} as seg, event_id, 'é ' || message as text from v_ev),
+n as (select cast(seg as bigint) as seg, row_number() over (partition by seg order by event_id) as line_number, text from e)
+select unnest(['UTF-16LE', 'UTF-16BE', 'ISO-8859-1']) as file, seg, line_number, text from n"""
+
+
 @query("scan_filter")
 def _(spark, d):
     return _place(tx.scan_filter(spark, line_files(spark, d)).select("file"))
@@ -239,7 +281,7 @@ def _drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 @query("dir_stream")
 def _(spark, d):
-    lines = tl.dir_stream(spark, line_files(spark, d)).filter("text <> ''").select("file", "text")
+    lines = tl.dir_stream(spark, line_files(spark, d), recursive=True).filter("text <> ''").select("file", "text")
     return _place(_drain(lines, spark, "dir-stream"))
 
 
@@ -256,7 +298,7 @@ ORACLES["tail_stream"] = ORACLES["dir_stream"]
 
 @query("stream_reports")
 def _(spark, d):
-    lines = tl.dir_stream(spark, line_files(spark, d))
+    lines = tl.dir_stream(spark, line_files(spark, d), recursive=True)
     out, state = scratch_dir(spark, "monitor"), scratch_dir(spark, "monitor-state")
     mo.run_monitor(lines, out, state, window_seconds=R.WINDOW, threshold=R.THRESHOLD).awaitTermination()
     return _place(spark.read.parquet(out).select(

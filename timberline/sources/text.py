@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from timberline import constants as K
+from timberline.operators.ordered import order_cells, with_carried, with_running_sum
+from timberline.session import cut
 
 
 def accepted(extensions: list[str] | None = None, max_bytes: int | None = None) -> Column:
@@ -41,6 +43,10 @@ def decoded(value: Column, encoding: str | None) -> Column:
     return F.decode(value.cast("binary"), encoding)
 
 
+#: bytes of a code unit and of a line end, of encodings whose line ends are not one byte
+_WIDE = {"utf16le": (2, "\n\0"), "utf16be": (2, "\0\n"), "utf32le": (4, "\n\0\0\0"), "utf32be": (4, "\0\0\0\n")}
+
+
 def _scan(spark: SparkSession, path: str | list[str], encoding: str | None, extensions: list[str] | None,
           max_bytes: int | None) -> DataFrame:
     return (
@@ -49,12 +55,52 @@ def _scan(spark: SparkSession, path: str | list[str], encoding: str | None, exte
                 F.col("_metadata.file_block_start").alias("block")))
 
 
+def _wide_lines(spark: SparkSession, path: str | list[str], encoding: str, width: int, end: str,
+                extensions: list[str] | None, max_bytes: int | None) -> DataFrame:
+    """(file, line_number, text) of files in UTF-16 or UTF-32 with a stated byte order.
+
+    Files are cut at the bytes of a line end. Such bytes may also lie across two code units; then the lengths of the pieces
+    before them don't add up to whole code units. Running lengths per file, over numbers only, tell the pieces that
+    begin a line, and the others are put back. Where all pieces are whole, as in most files, nothing is put together.
+    """
+    scanned = spark.read.option("lineSep", end).text(path).filter(accepted(extensions, max_bytes)).select(
+        F.col("value").cast("binary").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"))
+    pieces = number_lines(scanned)
+    sizes = pieces.select("file", "line_number", F.octet_length("text").cast("bigint").alias("n"))
+    if not sizes.filter(F.col("n") % width != 0).isEmpty():
+        order = ["file", "line_number"]
+        first = F.col("line_number") == 1
+        steps = with_running_sum(order_cells(sizes, order), order, F.col("n"), "_sum")
+        steps = with_carried(steps, order, F.when(first, F.col("_sum") - F.col("n")), "_sum0")
+        steps = steps.withColumn("_begins", ((F.col("_sum") - F.col("n") - F.col("_sum0")) % width == 0).cast("bigint"))
+        steps = with_running_sum(steps, order, F.col("_begins"), "_no")
+        steps = with_carried(steps, order, F.when(first, F.col("_no") - 1), "_no0")
+        places = cut(steps.select(*order, (F.col("_no") - F.col("_no0")).alias("_line")))
+        put = pieces.join(places, order).groupBy("file", "_line").agg(
+            F.array_sort(F.collect_list(F.struct("line_number", F.hex("text").alias("x")))).alias("parts"))
+        joined = F.array_join(F.transform("parts", lambda p: p["x"]), end.encode().hex())
+        pieces = put.select("file", F.col("_line").alias("line_number"), F.unhex(joined).alias("text"))
+    if width == 4:  # the byte order is told by a mark
+        mark = F.unhex(F.lit("FFFE0000" if end[0] == "\n" else "0000FEFF"))
+        text = F.decode(F.concat(mark, "text"), "UTF-32")
+    else:
+        text = F.decode("text", encoding)
+    text = F.when(F.col("line_number") == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    return pieces.select("file", "line_number", F.regexp_replace(text, "\r$", "").alias("text"))
+
+
 def scan_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None,
                extensions: list[str] | None = None, max_bytes: int | None = None,
                keep_empty: bool = False) -> DataFrame:
     """Numbered lines of the accepted files; empty lines count but are left out. Files of any size are read
-    unless ``max_bytes`` leaves larger ones out."""
-    lines = number_lines(_scan(spark, path, encoding, extensions, max_bytes))
+    unless ``max_bytes`` leaves larger ones out. ``encoding`` is UTF-8 unless stated: a one-byte set, or UTF-16LE, UTF-16BE, UTF-32LE,
+    UTF-32BE, where lines end on code units and a byte order mark is left out."""
+    wide = _WIDE.get((encoding or "").lower().replace("-", ""))
+    if wide:
+        lines = _wide_lines(spark, path, encoding, *wide, extensions, max_bytes)
+    else:
+        lines = number_lines(_scan(spark, path, encoding, extensions, max_bytes))
     return lines if keep_empty else lines.filter("text <> ''")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,12 +14,18 @@ from timberline.streaming.follow import FORMAT, FollowedLines
 
 
 def dir_stream(spark: SparkSession, folder: str, extensions: list[str] | None = None,
-               files_per_trigger: int | None = None, encoding: str | None = None) -> DataFrame:
-    """(file, block, text) of files as they appear."""
+               files_per_trigger: int | None = None, encoding: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, block, text) of the files of a folder as they appear; with ``recursive`` those of its subfolders too."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return (reader.load(folder).filter(accepted(extensions, 1 << 62))
+    files = reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    if not recursive:  # folders named key=value are listed all the same
+        scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+        inside = quote(re.sub(scheme, "", folder) if ":" in folder else os.path.abspath(folder)).rstrip("/")
+        path = F.regexp_replace("_metadata.file_path", scheme, "")
+        files = files.filter(F.regexp_replace(path, "/[^/]*$", "") == inside)
+    return (files.filter(accepted(extensions, 1 << 62))
             .select(decoded(F.col("value"), encoding).alias("text"), F.col("_metadata.file_path").alias("file"),
                     F.col("_metadata.file_block_start").alias("block")))
 

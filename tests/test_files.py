@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import alerts
-from timberline.sources import json_logs, text as tx
+from timberline.sources import json_logs, reports, text as tx
 from timberline.streaming import alerts as sa, counts, follow, monitor, partial, tail
 
 T0 = datetime(2024, 1, 15, 10, 0, 0)
@@ -146,6 +146,10 @@ def test_monitor_reads_new_files_once(spark, tmp_path):
     roll("two.log", "INFO")
     assert run().count() == 80
     assert run().count() == 80
+    stored = reports.read_reports(spark, str(out))
+    day = stored.filter("event_date = date'2024-01-15'")
+    assert day.count() == 80 and stored.filter("event_date = date'2024-01-16'").count() == 0
+    assert "event_date" in day._jdf.queryExecution().toString().split("PartitionFilters:")[1][:200]
     assert sorted(r[0] for r in run().select("line_number").distinct().collect()) == list(range(1, 41))
 
 

@@ -14,8 +14,10 @@ from timberline.streaming.follow import FORMAT, FollowedLines
 
 
 def dir_stream(spark: SparkSession, folder: str, extensions: list[str] | None = None,
-               files_per_trigger: int | None = None, encoding: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file, block, text) of the files of a folder as they appear; with ``recursive`` those of its subfolders too."""
+               files_per_trigger: int | None = 1000, encoding: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, block, text) of the files of a folder as they appear; with ``recursive`` those of its subfolders too.
+
+    A micro-batch takes up to ``files_per_trigger`` files; the others wait for the next one."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

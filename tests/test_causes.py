@@ -202,3 +202,36 @@ def test_normal_chunks_cover_exactly_the_rest(many_cells):
                                        "file string, start_index long, end_index long")
     got = chunks.normal_chunks(chunks.index_lines(lines), spans, 30).orderBy("start_index").collect()
     assert [(r["start_index"], r["end_index"], r["line_count"]) for r in got] == [(0, 45, 30), (46, 75, 30), (76, 89, 14)]
+
+
+def test_one_file_of_many_chunks(many_cells):
+    """20 000 spans in one file: the lines between them, without a window over the file."""
+    spans = many_cells.range(20_000).selectExpr("'f' as file", "id * 10 as start_index", "id * 10 + id % 7 as end_index")
+    indexed = many_cells.range(200_005).selectExpr("'f' as file", "id as index")
+    got = chunks.normal_chunks(indexed, spans, 1000).orderBy("start_index").collect()
+    free = [i for i in range(200_005) if i >= 200_000 or i % 10 > (i // 10) % 7]
+    want = [(free[k], free[min(k + 1000, len(free)) - 1], min(1000, len(free) - k)) for k in range(0, len(free), 1000)]
+    assert [(r["start_index"], r["end_index"], r["line_count"]) for r in got] == want
+
+
+@pytest.mark.parametrize("seed, width", [(1, 7), (2, 50), (3, 5000)])
+def test_merged_chunks_equal_comparing_all(spark, seed, width):
+    rng = random.Random(seed)
+    sides = []
+    for kind in ("a", "b", "c"):
+        rows = []
+        for i in range(80):
+            start = rng.randint(0, 600)
+            end = start + rng.choice([0, 3, 20, 90, 400])
+            rows.append((rng.choice("fg"), kind, 1, start, end, rng.randint(1, end - start + 1), 1, f"{kind}{i}"))
+        sides.append(rows)
+    frames = [spark.createDataFrame(rows, "file string, chunk_type string, priority int, start_index long, end_index long, "
+                                          "line_count long, error_count long, label string") for rows in sides]
+    got = {r["label"] for r in chunks.merge_chunks(frames, width).collect()}
+    want, kept = {r[7] for r in sides[0]}, list(sides[0])
+    for new in sides[1:]:
+        passed = [n for n in new if not any(min(n[4], a[4]) - max(n[3], a[3]) + 1 > min(n[5], a[5]) * 0.5 and n[0] == a[0]
+                                            and min(n[4], a[4]) >= max(n[3], a[3]) for a in kept)]
+        kept += passed
+        want |= {r[7] for r in passed}
+    assert got == want

@@ -7,11 +7,12 @@ first aggregation works on chunk rows, of which there is one per thousands of li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from timberline import constants as K
 from timberline.functions import text as T
-from timberline.operators.ordered import order_cells, with_carried, with_key_index, with_previous
+from timberline.operators.ordered import (
+    order_cells, with_carried, with_earlier_max, with_key_index, with_previous, with_running_sum)
 from timberline.session import cut
 
 _ORDER = ["file", "line_number"]
@@ -76,16 +77,30 @@ def temporal_chunks(indexed: DataFrame, min_lines: int = 10, last_only: bool = F
     return islands.filter((F.col("line_count") >= min_lines) & (F.col("error_count") > 0))
 
 
-def merge_chunks(strategies: list[DataFrame]) -> DataFrame:
+def _span_cells(chunks: DataFrame, width: int) -> DataFrame:
+    """One row per chunk and cell of ``width`` lines that its span touches."""
+    low, high = F.floor(F.col("start_index") / width), F.floor(F.col("end_index") / width)
+    return chunks.withColumn("cell", F.explode(F.sequence(low, high)))
+
+
+def merge_chunks(strategies: list[DataFrame], width: int = K.CHUNK_LINES) -> DataFrame:
     """Add strategies in order; a chunk is dropped when its span overlaps an earlier
-    strategy's accepted chunk by more than half of either one's line count."""
+    strategy's accepted chunk by more than half of either one's line count.
+
+    Spans meet in cells of ``width`` lines, each pair in the first cell that both touch, so a task holds the chunks
+    of one cell of one file.
+    """
     accepted = strategies[0]
+    name = ["file", "chunk_type", "start_index", "end_index", "label"]
     for new in strategies[1:]:
-        n, a = new.alias("n"), accepted.alias("a")
+        n, a = _span_cells(new, width).alias("n"), _span_cells(accepted, width).alias("a")
         overlap = (F.least("n.end_index", "a.end_index") - F.greatest("n.start_index", "a.start_index") + 1)
-        clash = (F.col("n.file") == F.col("a.file")) & (overlap > 0) & (
-            (overlap > F.col("n.line_count") * 0.5) | (overlap > F.col("a.line_count") * 0.5))
-        accepted = accepted.unionByName(n.join(a, clash, "left_anti"))
+        first = F.floor(F.greatest("n.start_index", "a.start_index") / width)
+        clash = n.join(a, (F.col("n.file") == F.col("a.file")) & (F.col("n.cell") == F.col("a.cell"))
+                       & (F.col("n.cell") == first) & (overlap > 0)
+                       & ((overlap > F.col("n.line_count") * 0.5) | (overlap > F.col("a.line_count") * 0.5)))
+        dropped = clash.select(*[F.col(f"n.{c}").alias(c) for c in name]).distinct()
+        accepted = accepted.unionByName(new.join(dropped, name, "left_anti"))
     return accepted
 
 
@@ -93,19 +108,22 @@ def normal_chunks(indexed: DataFrame, chunks: DataFrame, size: int = K.CHUNK_LIN
     """Lines under no chunk's span, in chunks of ``size``.
 
     Only spans are used: the gaps between merged spans give positions and counts of the
-    uncovered lines, so no line is joined with a span.
+    uncovered lines, so no line is joined with a span. The largest end so far and the lines in gaps so far are carried over
+    range partitions of the spans, so a file of any number of chunks is spread like everything else.
     """
     ends = indexed.groupBy("file").agg((F.max("index") + 1).alias("start_index")).withColumn(
         "end_index", F.col("start_index"))  # a stop at the end of each file
-    spans = chunks.select("file", "start_index", "end_index").unionByName(ends)
-    before = Window.partitionBy("file").orderBy("start_index", "end_index").rowsBetween(
-        Window.unboundedPreceding, -1)
-    gaps = (
-        spans.withColumn("low", F.coalesce(F.max("end_index").over(before) + 1, F.lit(0)))
-        .withColumn("high", F.col("start_index") - 1).filter("high >= low")
-        .withColumn("n", F.col("high") - F.col("low") + 1))
-    placed = gaps.withColumn("first", F.coalesce(F.sum("n").over(
-        Window.partitionBy("file").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spans = chunks.select("file", "start_index", "end_index").unionByName(ends).distinct()
+    order = ["file", "start_index", "end_index"]
+    cells = order_cells(spans.withColumn("reach", F.struct("file", "end_index")), order)
+    reached = with_earlier_max(cells, order, "reach", "before")
+    own = F.col("before.file") == F.col("file")
+    steps = (reached.withColumn("low", F.when(own, F.col("before.end_index") + 1).otherwise(F.lit(0)))
+             .withColumn("n", F.greatest(F.col("start_index") - F.col("low"), F.lit(0))))
+    steps = with_running_sum(steps, order, F.col("n"), "_sum")
+    base = F.when(~F.coalesce(own, F.lit(False)), F.col("_sum") - F.col("n"))
+    steps = with_carried(steps, order, base, "_base")
+    placed = steps.filter("n > 0").withColumn("first", F.col("_sum") - F.col("n") - F.col("_base"))
     last = F.col("first") + F.col("n") - 1
     cut_up = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(last / size))))
     a = F.greatest(F.col("first"), F.col("block") * size)

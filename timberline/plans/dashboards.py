@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timberline import constants as K
 from timberline.operators import clusters as cl, dashboard as db, evaluate as ev, patterns as pt, sessions as se
-from timberline.plans import causes as C, parsing as P, reports as R, sql as S, views as V
+from timberline.plans import causes as C, parsing as P, reports as R, sql as S, timing as TM, views as V
 from timberline.session import cut
 
 QUERIES = {}
@@ -225,6 +225,31 @@ def _(spark, d):
                              cl.cluster_distribution(R.anomalies(spark, d)))
 
 
+@query("summary_figures")
+def _(spark, d):
+    """The summary without its largest cluster."""
+    found = pt.detect_patterns(R.anomalies(spark, d), gap_seconds=TM.GAP, rare_share=TM.RARE)
+    listed = [F.array_join(c, " | ").alias(c) for c in ("recommended_actions", "top_root_causes", "top_patterns")]
+    return db.summary_report(R.reports(spark, d), C.causes(spark, d)[0], found).select(
+        "total_entries", "anomaly_count", "anomaly_rate", "risk_level", F.round("risk_score", 6).alias("risk_score"),
+        "overall_confidence", "evidence_note", *listed)
+
+
+_LEAD = "order by confidence desc, first_file, first_line"
+ORACLES["summary_figures"] = f"""with recursive {C._MERGED}, z_lead as (select *, row_number() over ({_LEAD}) as p from told qualify p <= 5),
+z_cause as (select round(avg(confidence), 3) as conf, string_agg(title, ' | ' order by p) filter (p <= 3) as titles,
+ flatten(list(case when len(s) > 0 then s[1:5] else {S.words(K.ACTION_FALLBACK)} end order by p) filter (p <= 3)) as steps from z_lead),
+z_found as (select * from ({TM.ORACLES['detect_patterns']}) order by position, confidence desc limit 5),
+z_pat as (select round(avg(confidence), 3) as conf, array_to_string(list(title order by position, title, summary)[1:3], ' | ') as titles from z_found),
+z_all as (select *, round(coalesce(c.conf, 0) * 0.65e0 + coalesce(q.conf, 0) * 0.35e0, 3) as overall,
+ c.titles as cause_titles, q.titles as pattern_titles, (select count(*) from v_entries) as total, (select count(*) from v_an) as hits
+ from z_cause c, z_pat q, ({ORACLES['risk_assessment']}) r)
+select total as total_entries, hits as anomaly_count, round(hits / total * 100, 2) as anomaly_rate, risk_level, risk_score,
+ overall as overall_confidence, case when hits < 5 or overall < 0.4 then {S.q(K.EVIDENCE_WEAK)} else {S.q(K.EVIDENCE_STRONG)} end as evidence_note,
+ array_to_string(list_filter(steps, lambda x, i: list_position(steps, x) = i)[1:6], ' | ') as recommended_actions,
+ cause_titles as top_root_causes, pattern_titles as top_patterns from z_all"""
+
+
 # --- sessions -------------------------------------------------------------------------
 _SESSIONS = """select cast(conv_id as varchar) as id, timestamp '2024-01-01' + to_minutes(conv_id * 7 % 5000) as timestamp,
  substring(arg_min(text, turn), 1, 80) as summary, case conv_id % 4 when 0 then 'CRITICAL' when 1 then 'HIGH' else 'LOW' end as risk_level,

@@ -246,8 +246,8 @@ z_all as (select *, round(coalesce(c.conf, 0) * 0.65e0 + coalesce(q.conf, 0) * 0
  from z_cause c, z_pat q, ({ORACLES['risk_assessment']}) r)
 select total as total_entries, hits as anomaly_count, round(hits / total * 100, 2) as anomaly_rate, risk_level, risk_score,
  overall as overall_confidence, case when hits < 5 or overall < 0.4 then {S.q(K.EVIDENCE_WEAK)} else {S.q(K.EVIDENCE_STRONG)} end as evidence_note,
- array_to_string(list_filter(steps, lambda x, i: list_position(steps, x) = i)[1:6], ' | ') as recommended_actions,
- cause_titles as top_root_causes, pattern_titles as top_patterns from z_all"""
+ coalesce(array_to_string(list_filter(steps, lambda x, i: list_position(steps, x) = i)[1:6], ' | '), '') as recommended_actions,
+ coalesce(cause_titles, '') as top_root_causes, coalesce(pattern_titles, '') as top_patterns from z_all"""
 
 
 # --- sessions -------------------------------------------------------------------------

@@ -17,7 +17,7 @@ import numpy as np
 from timberline.llm.common import worker_state
 
 #: chunks kept by a worker; about 150 bytes each
-KEPT = 300_000
+KEPT = 1_000_000
 
 
 def default_path() -> str:

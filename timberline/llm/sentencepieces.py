@@ -6,8 +6,9 @@ For BPE models it is 0, or minus infinity after a token it would have merged wit
 merging exactly if every two neighbours are, so one path remains and it is the library's.
 
 A giant document is cut into chunks anywhere. The state at a cut is the token that ends there or reaches over it.
-Each chunk yields its transfer matrix (value of the best path from each entry to each exit state); the matrices
-of a document, a few numbers each, give the states at all cuts; then every chunk is traced back alone.
+Each chunk yields its transfer matrix (value of the best path from each entry to each exit state). Products of
+``FAN`` neighbouring matrices make the next level of a tree; from its top the states at the borders are handed
+down, level by level; then every chunk is traced back alone. No task sees more than ``FAN`` matrices of a document.
 Where no token reaches over a border of words, the paths of a chunk meet there, so most matrices are cheap.
 """
 
@@ -16,8 +17,10 @@ from __future__ import annotations
 import json
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from timberline.llm.common import cut, map_rows, worker_state
 
 CHUNK = 1 << 16
+FAN = 16
 State = tuple[int, str]  # how far the token reaches over the cut, and the token ("" at the start)
 Matrix = dict[State, dict[State, float]]
 
@@ -65,7 +69,9 @@ class Model:
         self.splits = not any(re.search("[^▁]▁", p) for p in self.ids)
         self.steps: dict[str, list[tuple[float, str, str]]] = {}
         self.whole: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
+        self.starts: dict[str, tuple[list[str], bool]] = {}
         self.words: dict[str, bytes] = {}
 
     def derivation(self, token: str) -> list[tuple[float, str, str]]:
@@ -89,7 +95,7 @@ class Model:
 
     def stays(self, a: str, b: str) -> bool:
         """Whether merging a + b leaves the tokens a and b apart."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a, {}).get(b)
         if known is None:
             left, right, i, j = self.derivation(a), self.derivation(b), 0, 0
             while True:
@@ -105,9 +111,11 @@ class Model:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) > 2_000_000:
+            if self.n_fits > 1_500_000:
                 self.fits.clear()
-            self.fits[a, b] = known
+                self.n_fits = 0
+            self.n_fits += 1
+            self.fits.setdefault(a, {})[b] = known
         return known
 
     def value(self, before: str, token: str) -> float:
@@ -117,22 +125,36 @@ class Model:
         return 0.0 if not before or self.stays(before, token) else -math.inf
 
     def tokens_at(self, text: str, at: int) -> list[str]:
-        """Tokens that may start at a place: pieces, and the single character."""
-        out = [text[at]]
-        ids, known, prefixes = self.ids, self.whole, self.prefixes
-        for n in range(2, min(self.longest, len(text) - at) + 1):
+        """Tokens that may start at a place: pieces, and the single character. Those of up to 4 characters are
+        looked up by the next 4 characters, with a note whether a longer piece begins so."""
+        near = text[at:at + 4]
+        got = self.starts.get(near)
+        if got is None:
+            if len(self.starts) > 300_000:
+                self.starts.clear()
+            got = self.starts[near] = ([near[0]] + [near[:n] for n in range(2, len(near) + 1) if self._piece(near[:n])],
+                                       len(near) == 4 and near in self.prefixes)
+        if not got[1]:
+            return got[0]
+        out = got[0].copy()
+        for n in range(5, min(self.longest, len(text) - at) + 1):
             piece = text[at:at + n]
-            if piece not in prefixes:
+            if piece not in self.prefixes:
                 break
-            if piece in ids:
-                if not self.unigram:
-                    if piece not in known:
-                        self.derivation(piece)
-                    if not known[piece]:
-                        continue
+            if self._piece(piece):
                 out.append(piece)
         return out
 
+    def _piece(self, piece: str) -> bool:
+        """Whether a string is a piece that segmentations may use: for BPE, one that merging it alone leaves whole."""
+        if piece not in self.ids:
+            return False
+        if self.unigram:
+            return True
+        if piece not in self.whole:
+            self.derivation(piece)
+        return self.whole[piece]
+
     def lattice(self, text: str, entry: State, end: int) -> tuple[list[dict[str, tuple[float, str]]], dict[State, float]]:
         """All best paths from an entry state until they reach ``end``: per place the tokens that end there with value and
         the token before, and the values of the exit states. Unigram states forget their token."""
@@ -186,19 +208,19 @@ class Model:
                 out += [self.bytes[b] for b in t.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def merged(self, text: str) -> list[str]:
         """``path`` of a whole BPE text: there, one token at most can end at a place."""
         last: list[str | None] = [None] * (len(text) + 1)
         last[0] = ""
-        fits = self.fits
         for at in range(len(text)):
             before = last[at]
             if before is None:
                 continue
+            fits = self.fits.get(before, {})
             for t in self.tokens_at(text, at):
-                if not before or (fits[before, t] if (before, t) in fits else self.stays(before, t)):
+                if not before or (fits[t] if t in fits else self.stays(before, t)):
                     last[at + len(t)] = t
         out, at = [], len(text)
         while at:
@@ -285,20 +307,26 @@ def model(path: str | None = None, unigram: bool = False) -> Model:
     return worker_state(("pieces", path, unigram), lambda: Model(path, unigram))
 
 
-def cut_states(matrices: list[Matrix]) -> list[tuple[State, State]]:
-    """Entry and exit state of every chunk of a document on the best path."""
-    value: dict[State, float] = {(0, ""): 0.0}
+def best_exit(whole: Matrix) -> State:
+    """The state in which the best path of a whole document ends."""
+    ways = whole[0, ""]
+    return max((s for s in ways if s[0] == 0), key=lambda s: ways[s])
+
+
+def between(matrices: list[Matrix], entry: State, leave: State) -> list[tuple[State, State]]:
+    """Entry and exit state of each of some neighbouring matrices on the best path from ``entry`` to ``leave``."""
+    value: dict[State, float] = {entry: 0.0}
     back: list[dict[State, State]] = []
     for m in matrices:
         best: dict[State, float] = {}
         came: dict[State, State] = {}
-        for entry, v in value.items():
-            for leave, more in m.get(entry, {}).items():
-                if v + more > best.get(leave, -math.inf):
-                    best[leave], came[leave] = v + more, entry
+        for state, v in value.items():
+            for after, more in m.get(state, {}).items():
+                if v + more > best.get(after, -math.inf):
+                    best[after], came[after] = v + more, state
         value = best
         back.append(came)
-    state = max((s for s in value if s[0] == 0), key=lambda s: value[s])
+    state = leave
     out: list[tuple[State, State]] = []
     for came in reversed(back):
         out.append((came[state], state))
@@ -306,6 +334,46 @@ def cut_states(matrices: list[Matrix]) -> list[tuple[State, State]]:
     return out[::-1]
 
 
+def cut_states(chunks: DataFrame, n: int) -> DataFrame:
+    """Entry and exit state (entry_over, entry, exit_over, leave) of every chunk of every document.
+
+    ``chunks`` has row, chunk and matrix, ``n`` is the largest number of chunks of a document. Upwards, up to
+    ``FAN`` neighbours of a level are composed into one node; downwards, a node's states give those of its children.
+    """
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        product = reduce(compose, [_unpacked(x) for x in pdf["matrix"]])
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "node": pdf["node"].iloc[:1] // FAN, "matrix": [_packed(product)]})
+
+    def top(batches: Iterator[list[list]]) -> Iterator[dict]:
+        for rows, data in batches:
+            leave = [best_exit(_unpacked(x)) for x in data]
+            yield {"row": rows, "node": [0] * len(rows), "entry_over": [0] * len(rows), "entry": [""] * len(rows),
+                   "exit_over": [x[0] for x in leave], "leave": [x[1] for x in leave]}
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        one = pdf.iloc[0]
+        found = between([_unpacked(x) for x in pdf["matrix"]], (int(one["entry_over"]), one["entry"]),
+                        (int(one["exit_over"]), one["leave"]))
+        return pd.DataFrame({"row": pdf["row"], "node": pdf["node"], "entry_over": [e[0] for e, _ in found],
+                             "entry": [e[1] for e, _ in found], "exit_over": [x[0] for _, x in found],
+                             "leave": [x[1] for _, x in found]})
+
+    states = "row bigint, node int, entry_over int, entry string, exit_over int, leave string"
+    family = (F.col("node") / FAN).cast("int").alias("family")
+    levels = [cut(chunks.select("row", F.col("chunk").alias("node"), "matrix"))]
+    while n > 1:
+        levels.append(cut(levels[-1].groupBy("row", family).applyInPandas(up, "row bigint, node int, matrix string")))
+        n = -(-n // FAN)
+    at = map_rows(levels.pop(), ["row", "matrix"], top, states)
+    while levels:
+        children = levels.pop().withColumn("family", family)
+        at = (children.join(at.withColumnRenamed("node", "family"), ["row", "family"])
+              .groupBy("row", "family").applyInPandas(down, states))
+    return at.withColumnRenamed("node", "chunk")
+
+
 def _packed(m: Matrix) -> str:
     return json.dumps([[e, [[x, v] for x, v in row.items()]] for e, row in m.items()])
 
@@ -321,21 +389,21 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False, chun
     read; longer ones take the scan. A null text gives null ids, an empty one no ids. Rows with null or repeated
     ids are documents of their own. Other columns are not looked at.
     """
-    schema = "doc_id bigint, row bigint, chunk int, before string, text string, size int, ids binary"
+    def alone(batches: Iterator[list[list]]) -> Iterator[dict]:
+        m = model(path, unigram)
+        for doc_ids, texts in batches:
+            yield {"doc_id": doc_ids, "ids": [None if x is None else m.encode(m.sp.normalize(x)) for x in texts]}
 
     def split(batches: Iterator[list[list]]) -> Iterator[dict]:
         m = model(path, unigram)
         for doc_ids, rows, texts in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "chunk", "before", "text", "size", "ids")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "chunk", "before", "text", "size")}
             for doc_id, row, text in zip(doc_ids, rows, texts):
-                plain = m.sp.normalize(text) if text else ""
-                if len(plain) <= chunk:
-                    parts = [(0, None, None, 0, None if text is None else m.encode(plain))]
-                else:
-                    parts = [(k, plain[max(0, a - m.longest):a], plain[a:a + chunk + m.longest], min(chunk, len(plain) - a), None)
-                             for k, a in enumerate(range(0, len(plain), chunk))]
-                for p in parts:
-                    for name, v in zip(("doc_id", "row", "chunk", "before", "text", "size", "ids"), (doc_id, row, *p)):
+                plain = m.sp.normalize(text)
+                for k, a in enumerate(range(0, max(1, len(plain)), chunk)):
+                    part = (doc_id, row, k, plain[max(0, a - m.longest):a], plain[a:a + chunk + m.longest],
+                            min(chunk, len(plain) - a))
+                    for name, v in zip(out, part):
                         out[name].append(v)
             yield out
 
@@ -345,31 +413,30 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False, chun
             yield {"row": rows, "chunk": chunks,
                    "matrix": [_packed(m.transfer(b, t, n)) for b, t, n in zip(before, texts, sizes)]}
 
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        found = cut_states([_unpacked(x) for x in pdf["matrix"]])
-        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "entry_over": [e[0] for e, _ in found],
-                             "entry": [e[1] for e, _ in found], "exit_over": [x[0] for _, x in found],
-                             "leave": [x[1] for _, x in found]})
-
     def traced(batches: Iterator[list[list]]) -> Iterator[dict]:
         m = model(path, unigram)
         for doc_ids, rows, chunks, texts, sizes, eo, e, xo, x in batches:
             yield {"doc_id": doc_ids, "row": rows, "chunk": chunks,
                    "ids": [m.trace(t, n, (a, b), (c, d)) for t, n, a, b, c, d in zip(texts, sizes, eo, e, xo, x)]}
 
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = cut(map_rows(numbered, ["doc_id", "row", "text"], split, schema))
-    chunks = parts.filter("before is not null")
-    at = (map_rows(chunks, ["row", "chunk", "before", "text", "size"], matrices, "row bigint, chunk int, matrix string")
-          .groupBy("row").applyInPandas(states, "row bigint, chunk int, entry_over int, entry string, exit_over int, leave string"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    short = map_rows(docs.select("doc_id", "text").filter(size <= chunk), ["doc_id", "text"], alone,
+                     "doc_id bigint, ids binary")
+    long = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").filter(size > chunk)
+    chunks = cut(map_rows(long, ["doc_id", "row", "text"], split,
+                          "doc_id bigint, row bigint, chunk int, before string, text string, size int", at_once=10))
+    most = chunks.agg(F.max("chunk")).first()[0]
+    if most is None:
+        return short
+    at = cut_states(map_rows(chunks, ["row", "chunk", "before", "text", "size"], matrices,
+                             "row bigint, chunk int, matrix string"), most + 1)
     placed = chunks.join(at, ["row", "chunk"])
     pieces = map_rows(placed, ["doc_id", "row", "chunk", "text", "size", "entry_over", "entry", "exit_over", "leave"], traced,
                       "doc_id bigint, row bigint, chunk int, ids binary")
     # as many chunks as the document has, which is one row before and after
     joined = (pieces.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
               .select("doc_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids")))
-    return parts.filter("before is null").select("doc_id", "ids").union(joined)
+    return short.union(joined)
 
 
 def decode(encoded: DataFrame, *keep: str, path: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """The numpy parts against plain code."""
 
+import functools
 import itertools
 import zlib
 
@@ -44,10 +45,34 @@ def test_coder_on_long_and_repetitive_ids():
 def test_damaged_block_is_noticed():
     data = bytearray(codec.encode(np.arange(3000) % 500))
     data[-40] ^= 1
+    with pytest.raises(ValueError):
+        codec.decode(bytes(data))
+    data = bytearray(codec.encode(np.arange(3000) % 500))
+    data[30] ^= 1  # in the frequencies
     with pytest.raises(ValueError):
         codec.decode(bytes(data))
     with pytest.raises(ValueError):
-        codec.encode(np.array([70_000]))
+        codec.encode(np.array([1 << 32]))
+
+
+def test_wide_ids_and_order_0_frequencies():
+    rng = np.random.default_rng(3)
+    for ids in (np.array([70_000]), rng.integers(0, 1 << 32, 5000), rng.integers(0, 200_000, 150_000), np.arange(300_000)):
+        assert np.array_equal(codec.decode(codec.encode(ids)), ids)
+    # ids that no context foretells cost about their entropy
+    ids = np.minimum(rng.geometric(0.02, 200_000), 400)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(codec.encode(ids)) * 8 / len(ids) < entropy + 0.35
+    wide = codec._Order0.of(np.arange(3), np.array([1, 10 ** 9, 5]))
+    assert wide.freq.min() >= 1 and wide.freq.sum() == 1 << wide.bits
+
+
+def test_ranks_beyond_20_bits_of_frequencies_come_back():
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(140_000)  # 18 bits of ranks, 21 of frequencies
+    assert codec._Order0.bits_for(len(ids)) > 20
+    assert np.array_equal(codec.decode(codec.encode(ids)), ids)
 
 
 def _valid(bins, lengths, capacity):
@@ -133,6 +158,15 @@ def test_prob_min_hash_estimates_probability_jaccard():
     assert abs(agree - exact) < 0.03
 
 
+def _states(matrices):
+    """States at the borders of chunks, by products of three neighbours and their states handed down."""
+    if len(matrices) == 1:
+        return [((0, ""), sentencepieces.best_exit(matrices[0]))]
+    groups = [matrices[i:i + 3] for i in range(0, len(matrices), 3)]
+    upper = _states([functools.reduce(sentencepieces.compose, g) for g in groups])
+    return [s for g, (entry, leave) in zip(groups, upper) for s in sentencepieces.between(g, entry, leave)]
+
+
 def test_pieces_equal_the_library_whole_and_in_chunks():
     m = sentencepieces.model()
     rng = np.random.default_rng(6)
@@ -145,7 +179,7 @@ def test_pieces_equal_the_library_whole_and_in_chunks():
             if plain and len(plain) < 700:
                 parts = [(plain[max(0, a - m.longest):a], plain[a:a + size + m.longest], min(size, len(plain) - a))
                          for a in range(0, len(plain), size)]
-                states = sentencepieces.cut_states([m.transfer(*p) for p in parts])
+                states = _states([m.transfer(*p) for p in parts])
                 assert b"".join(m.trace(t, n, a, b) for (_, t, n), (a, b) in zip(parts, states)) == expected, text
 
 
@@ -168,7 +202,7 @@ def test_unigram_chunks_find_the_best_sum():
         best = max(v for s, v in left[(0, "")].items() if s[0] == 0)
         assert abs(best - value) < 1e-6 * abs(value) + 1e-6
         assert left[(0, "")].keys() == right[(0, "")].keys()
-        states = sentencepieces.cut_states(matrices)
+        states = _states(matrices)
         got = b"".join(m.trace(t, n, a, b) for (_, t, n), (a, b) in zip(parts, states))
         pieces = [m.sp.id_to_piece(int(i)) for i in np.frombuffer(got, "<u4")]
         assert "".join(pieces) == text

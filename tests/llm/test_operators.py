@@ -90,7 +90,7 @@ def test_token_files(spark, docs, texts, nothing):
 
 def test_sentencepieces(docs, texts, nothing):
     sp = sentencepieces.model().sp
-    encoded = sentencepieces.encode(docs, chunk=1000)
+    encoded = sentencepieces.encode(docs, chunk=60)  # three levels of the tree for the longest text
     rows = encoded.collect()
     assert sorted((str(r.doc_id), None if r.ids is None else bytes(r.ids)) for r in rows if r.ids is not None) == sorted(
         (str(i), np.array(sp.encode(t), "<u4").tobytes()) for i, t in texts if t is not None)

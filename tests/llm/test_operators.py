@@ -366,3 +366,11 @@ def test_pipeline_stages(spark):
     assert all(r.lang == before[r.doc_id].lang for r in left.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(left)
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(8)], "vec_id bigint, embedding array<double>")
+    odd = spark.createDataFrame([(100, [1.0, 2.0]), (101, [2.0, 1.0]), (102, [1.0, 0.0, 0.0])],
+                                "vec_id bigint, embedding array<double>")
+    for search in (hnsw.nearest, topk.top_k):
+        assert {r.query_id for r in search(rows, odd, k=2).collect()} == {102}

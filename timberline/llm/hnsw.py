@@ -183,7 +183,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, width: int = 128,
               .filter(F.col("_rank") <= k + 1).groupBy("embedding")
               .agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     points = cut(points)
-    asked = cut(vectors.usable(queries, zero=False))
+    asked = cut(vectors.usable(queries, zero=False, like=points))
     shards = spread(points.count(), shard)
 
     def to_graph(table: pa.Table) -> pa.Table:

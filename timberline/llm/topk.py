@@ -93,7 +93,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, sha
     query_id, rank, vec_id, score.
     """
     candidates = cut(vectors.usable(rows, zero=True))
-    asked = cut(vectors.usable(queries, zero=True))
+    asked = cut(vectors.usable(queries, zero=True, like=candidates))
     shards = spread(candidates.count(), shard)
 
     def to_lists(table: pa.Table) -> pa.Table:

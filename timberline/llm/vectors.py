@@ -11,18 +11,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from timberline.llm.common import spread
 
 
-def usable(rows: DataFrame, zero: bool) -> DataFrame:
+def usable(rows: DataFrame, zero: bool, like: DataFrame | None = None) -> DataFrame:
     """vec_id and embedding of the rows that take part in a search, each (id, vector) once.
 
     Left out: null ids, null or empty vectors, vectors holding null or non-finite components, all-zero
-    vectors unless ``zero``, and vectors whose number of components isn't the most common one.
+    vectors unless ``zero``, and vectors whose number of components isn't the most common one
+    of these rows or, where given, of the usable rows ``like``.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.lit(True) if zero else F.exists(e, lambda x: x != 0)
     good = (rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
             .filter(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)).filter(finite & some))
-    sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    sizes = (good if like is None else like).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if sizes is None:
         return good
     return good.filter(F.size("embedding") == sizes["d"]).distinct()

@@ -1,13 +1,16 @@
 """Root causes, cascades and patterns against brute force."""
 
 import random
+import subprocess
+import sys
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from timberline.operators import chunks, patterns, root_cause as rc
+from timberline.operators import chunks, patterns, root_cause as rc, settle
 
 T0 = datetime(2024, 1, 15, 10, 0, 0)
 EVENTS = ("event_id string, title string, description string, start timestamp_ntz, end timestamp_ntz, confidence double, "
@@ -235,3 +238,10 @@ def test_merged_chunks_equal_comparing_all(spark, seed, width):
         kept += passed
         want |= {r[7] for r in passed}
     assert got == want
+
+
+def test_settling_is_shipped_to_workers_without_the_package():
+    code = cloudpickle.dumps((settle.Event, settle.settle))
+    run = ("import sys, pickle; sys.modules['timberline'] = None; _, f = pickle.loads(bytes.fromhex(sys.stdin.read())); print(f([], 1, 0.4))")
+    done = subprocess.run([sys.executable, "-c", run], input=code.hex(), capture_output=True, text=True)
+    assert done.stdout.strip() == "[]", done.stderr

@@ -77,6 +77,24 @@ def test_stream_of_one_folder_only(spark, tmp_path):
         assert {r["text"] for r in spark.read.parquet(str(sub / "sink")).collect()} == want
 
 
+def test_batches_of_files_are_bounded_by_their_bytes(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for i in range(1100):
+        (tmp_path / "logs" / f"{i}.log").write_text(f"line {i}\n" + "x" * 90 + "\n")
+
+    def batches(name, **bound):
+        sizes = []
+        stream = tail.dir_stream(spark, str(tmp_path / "logs"), **bound)
+        (stream.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / name))
+         .trigger(availableNow=True).start().awaitTermination())
+        return sizes
+
+    assert batches("a") == [2200]
+    assert batches("b", files_per_trigger=600) == [1200, 1000]
+    cut = batches("c", bytes_per_trigger=60_000)
+    assert sum(cut) == 2200 and 2 <= len(cut) <= 3 and max(cut) <= 2 * 60_000 / 98  # a file has 98 bytes or more
+
+
 def test_json_lines_arrays_and_numeric_levels(spark, tmp_path):
     (tmp_path / "l.json").write_text('\n{"time": 1705314645123, "level": 50, "msg": "boom"}\nnot json\n'
                                      '{"arbitrary_key": "value"}\n')

@@ -54,7 +54,7 @@ def signal_timeline(lines: DataFrame, width: int = 10, n: int | None = None) ->
 def key_snippets(lines: DataFrame, n: int = 10) -> DataFrame:
     """The lines of highest evidence score."""
     level = (F.when(_has(["CRITICAL", "FATAL"]), 10).when(_has(["ERROR"]), 7).when(_has(["WARN"]), 5).otherwise(0))
-    words = F.size(T.matched_words(F.lower("text"), K.SNIPPET_WORDS)) * 3
+    words = T.count_words(F.lower("text"), K.SNIPPET_WORDS) * 3
     size = F.length("text")
     score = level + words + F.when((size > 50) & (size < 500), 1).otherwise(0)
     return (lines.withColumn("score", score).orderBy(F.col("score").desc(), "file", "line_number").limit(n)

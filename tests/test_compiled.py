@@ -4,7 +4,7 @@ import re
 
 from timberline import constants as K
 from timberline.functions import text as T
-from timberline.operators import anomaly, templates
+from timberline.operators import anomaly, explain, templates
 from timberline.plans import reports as R
 
 from conftest import SF
@@ -25,12 +25,14 @@ def test_functions_of_the_reports_are_short_enough(spark, capsys):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else no function exists before the run
     try:
         assert longest(templates.with_template(R.fresh_reports(spark, SF)), capsys) < LIMIT
+        assert longest(R.explained(spark, SF), capsys) < LIMIT
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def test_no_lambda_per_row_in_scores(spark, capsys):
+def test_no_lambda_per_row_in_scores_and_explanations(spark, capsys):
     R.fresh_reports(spark, SF).explain(mode="simple")
+    explain.explain(R.reports(spark, SF)).explain(mode="simple")
     assert "lambdafunction" not in capsys.readouterr().out
 
 
@@ -48,3 +50,21 @@ def test_keywords_of_odd_messages(spark):
     assert found[0]["kw_hits"] == [] and found[0]["kw_conf"] is None and found[1]["kw_detail"] is None
     assert found[2]["kw_hits"] == ["fatal", "oom"] and found[2]["kw_detail"] == "Critical keywords found: fatal, oom"
     assert found[3]["kw_hits"] == ["fatal"]
+
+
+def test_texts_are_filled_by_place(spark):
+    kinds = [*K.EXPLANATION_TEXTS, "none", "other", None]
+    rows = spark.createDataFrame(
+        [("a", i, k, "HIGH", "{details}", None if i % 2 else "d {message_preview}", "m" * 120) for i, k in enumerate(kinds)],
+        "file string, line_number long, anomaly_type string, severity string, log_level string, details string, message string")
+    for r in explain.explain(rows).collect():
+        _, causes, steps = K.EXPLANATION_TEXTS.get(r["anomaly_type"], K.EXPLANATION_DEFAULT)
+        values = {"severity": "HIGH", "log_level": "{details}", "details": r["details"] or K.NO_DETAILS,
+                  "message_preview": "m" * 97 + "..."}
+        for texts, got in ((causes, r["possible_causes"]), (steps, r["remediation"])):
+            want = []
+            for t in texts:
+                for name, value in values.items():
+                    t = t.replace("{" + name + "}", value)
+                want.append(t)
+            assert got == want

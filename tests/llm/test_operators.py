@@ -202,6 +202,40 @@ def test_large_group_of_near_copies_and_its_neighbours(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(data).collect()} == {i: top(i) for i in sets}
 
 
+@pytest.mark.parametrize("block", [512, 40, 8])
+def test_group_with_similarities_around_the_bound(spark, monkeypatch, block):
+    """Pairs made of a group whose rows mostly are no links grow with its rows; classes as by brute force, also in blocks."""
+    rng = random.Random(9)
+    base = _words(5, 120).split()
+    rows = []
+    for k in range(300):
+        words = base.copy()
+        for x in rng.sample(range(120), rng.randint(1, 5)):
+            words[x] = f"v{k}x{x}"
+        rows.append((k, " ".join(words)))
+    data = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in rows], SCHEMA)
+    sets = {i: set(neardup.shingles(t)[0].tolist()) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    assert len({top(i) for i in sets}) > 20
+    made, similar = [], neardup._similar
+    monkeypatch.setattr(neardup, "_similar", lambda pairs, *more: made.append(pairs.count()) or similar(pairs, *more))
+    kwargs = {} if block == 512 else {"block": block}
+    found = {r.doc_id: r.class_id for r in neardup.classes(data, **kwargs).collect()}
+    assert {i: top(i) for i in sets} == found
+    assert sum(made) < 24 * 300
+
+
 def test_one_of_equal_texts_without_an_id_stays(spark):
     """Null ids with equal texts: one stays if the first of the class is among them; texts without words all stay."""
     same, other = _words(30, 40), _words(31, 40)

@@ -2,8 +2,9 @@
 
 Exact copies (the same words in the same order) are one node from the start. Nodes that share a band of their
 signatures are compared by the exact Jaccard similarity of their shingle sets. Groups are never paired out:
-in each bucket a few leaders are compared with the members of other classes, and rounds go on until, in
-every bucket, all members outside its largest class have been leaders, so no link between classes is lost.
+first every member of a bucket is compared with the bucket's first one, which is linear. Buckets that still hold
+more than one class are compared block by block, where a pair of blocks is a product of two matrices in one task and
+gives a spanning forest of its links. Only two blocks of the largest class of a group never meet, so no link is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from timberline.llm.common import cut, map_rows, release, worker_state
 from timberline.llm.components import components
@@ -123,23 +125,93 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.filter(shared >= least * either - 1e-9).select("a", "b")
 
 
-def _leader_pairs(members: DataFrame, leaders: int) -> DataFrame:
-    """Pairs of a leader of a bucket with the bucket's members of other classes.
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the first member of every bucket with each of its others."""
+    heads = members.groupBy("bucket").agg(F.min("row").alias("a"))
+    return members.join(heads, "bucket").filter("row <> a").select("a", F.col("row").alias("b")).distinct()
 
-    Leaders are the ``leaders`` first members outside the largest class of their bucket (all members of a
-    first round are classes of one, of which the first leads).
+
+def near_rows(values: np.ndarray, lengths: np.ndarray, first: int, least: float) -> np.ndarray:
+    """Smallest linked row of every row; rows are sets of ``lengths`` different ``values`` each.
+
+    All rows are compared if ``first`` is their number, else the ``first`` ones with the others. Shared values are
+    counted as the product of 0/1 matrices, some columns at a time.
+    """
+    n = len(lengths)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    often = count > 1
+    kept = often[column]
+    owner, column = np.repeat(np.arange(n), lengths)[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width, step, rest = int(often.sum()), 4096, 0 if first == n else first
+    shared = np.zeros((first, n - rest), np.float32)
+    for start in range(0, width, step):
+        low, high = np.searchsorted(column, [start, start + step])
+        part = np.zeros((n, min(step, width - start)), np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        shared += part[:first] @ part[rest:].T
+    either = lengths[:first, None] + lengths[None, rest:] - shared.astype(float)
+    a, b = np.nonzero(shared >= least * either - 1e-9)
+    b = b + rest
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        np.minimum.at(label, a, old[b])
+        np.minimum.at(label, b, old[a])
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
+def _groups(members: DataFrame, block: int) -> DataFrame:
+    """by_bucket, group, row, label: what has to be compared. Buckets that share members are one group, so that a row
+    travels once for all its bands; where that would be more than 8 blocks, every bucket is a group."""
+    own = members.select(F.col("row").alias("node")).distinct()
+    near = components(own, _first_pairs(members)).select(F.col("node").alias("row"), F.col("label").alias("near"))
+    sizes = near.groupBy("near").agg(F.count("*").alias("_n"))
+    large = F.col("_n") > 8 * block
+    return (members.join(near.join(sizes, "near"), "row")
+            .select(large.alias("by_bucket"), F.when(large, F.col("bucket")).otherwise(F.col("near")).alias("group"), "row", "label")
+            .distinct())
+
+
+def _block_links(members: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): links that join the near rows of every group, found in pairs of blocks of about ``block`` rows.
+
+    Rows outside the largest class of their group meet all rows; two blocks of the largest class have nothing to tell.
     """
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("_size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("_size", "label")).alias("_top"), F.max("_size").alias("_most"))
-    outside = members.join(largest, "bucket").filter((F.col("label") != F.col("_top.label")) | (F.col("_most") == 1))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("row", "bucket"), "row")
-    lead = (outside.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= leaders)
-            .select("bucket", F.col("row").alias("_leader"), F.col("label").alias("_other")))
-    return (members.join(lead, "bucket").filter("label <> _other")
-            .select(F.least("row", "_leader").alias("a"), F.greatest("row", "_leader").alias("b")).distinct())
+    key = ["by_bucket", "group"]
+    placed = cut(_groups(members, block))
+    tops = (placed.groupBy(*key, "label").agg(F.count("*").alias("_size")).groupBy(*key)
+            .agg(F.max(F.struct("_size", "label")).alias("_top"), F.sum("_size").alias("_n")))
+    told = placed.join(tops, key)
+    one, top, at = F.col("_n") <= block, F.col("label") == F.col("_top.label"), F.xxhash64("row")
+    outer, inner = F.ceil((F.col("_n") - F.col("_top._size")) / block), F.ceil(F.col("_top._size") / block)
+    zero = F.lit(0).cast("bigint")
+    part = F.when(one, zero).when(top, outer + F.pmod(at, inner)).otherwise(F.pmod(at, outer))
+    others = F.sequence(zero, F.when(one, zero).when(top, outer - 1).otherwise(outer + inner - 1))
+    dealt = (told.select(*key, part.alias("part"), "row", F.explode(others).alias("_other"))
+             .select(*key, F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "row"))
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("row", "ascending")])
+        row, parts = table["row"].to_numpy(), table["part"].to_numpy()
+        sets = table["shingles"].combine_chunks()
+        lengths = sets.value_lengths().to_numpy().astype(np.int64)
+        whole = table["i"][0].as_py() == table["j"][0].as_py()
+        first = len(row) if whole else int((parts == parts[0]).sum())
+        label = np.arange(len(row))
+        if whole or first < len(row):  # else one of the two blocks is empty
+            label = near_rows(sets.flatten().to_numpy(), lengths, first, least)
+        moved = np.flatnonzero(label != np.arange(len(row)))
+        return pa.table({"a": row[label[moved]], "b": row[moved]})
 
-def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+    return dealt.join(sets, "row").groupBy(*key, "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5,
+            block: int = 512) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, class_id and kept.
 
     class_id is the smallest doc_id of the near-duplicate class: documents joined by any number of links of
@@ -158,32 +230,17 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, bands: int = 24, ro
     buckets = cut(bucketed.join(shared, "bucket"))
     nodes = buckets.select(F.col("row").alias("node")).distinct()
     sets = cut(table.select("row", "shingles").join(nodes.select(F.col("node").alias("row")), "row", "left_semi"))
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
     release(docs.sparkSession)
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    leaders = 1
-    while True:
-        members = buckets.join(labels.withColumnRenamed("node", "row"), "row")
-        spans = (members.groupBy("bucket", "label").agg(F.count("*").alias("_n")).groupBy("bucket")
-                 .agg((F.sum("_n") - F.max("_n")).alias("outside")).filter("outside > 0"))
-        spans = cut(spans)
-        need = spans.agg(F.max("outside")).first()[0]
-        if need is None:
-            break
-        open_members = cut(members.join(spans.select("bucket"), "bucket"))
-        pairs = _leader_pairs(open_members, leaders)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        new = _similar(pairs, sets, least)
-        links = cut(new if links is None else links.union(new))
-        labels = components(nodes, links)
-        release(docs.sparkSession)  # the files and plans of the round
-        if leaders >= need:  # every pair between classes of a bucket has been compared
-            break
-        leaders *= 32
+    links = cut(_similar(_first_pairs(buckets), sets, least))
+    labels = components(nodes, links)
+    release(docs.sparkSession)  # the files and plans of the round
+    members = buckets.join(labels.withColumnRenamed("node", "row"), "row")
+    mixed = (members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+             .filter("_low <> _high").select("bucket"))
+    mixed = cut(members.join(mixed, "bucket"))
+    if not mixed.isEmpty():
+        labels = components(nodes, cut(links.union(_block_links(mixed, sets, least, block))))
+        release(docs.sparkSession)
     found = (table.select("row", "doc_id", "text_hash", "digest").join(copies, "digest", "left")
              .withColumn("node", F.coalesce("node", "row")).join(labels, "node", "left")
              .withColumn("label", F.coalesce("label", "node")))

@@ -2,9 +2,11 @@
 
 import functools
 import itertools
+import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -167,6 +169,19 @@ def _states(matrices):
     return [s for g, (entry, leave) in zip(groups, upper) for s in sentencepieces.between(g, entry, leave)]
 
 
+def test_signs_after_words_are_no_words_of_their_own():
+    """Words are merged once whatever sign follows; ids equal the library's for all runs of signs and letters."""
+    m = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    signs = ",.;:!?&()\"'*#|/-%$é_0"
+    rng = random.Random(4)
+    texts = [f"reatesed{a}{b} Ererö{b}{a} x{a}y{b}z {a}{b} q{b}" for a in signs for b in signs]
+    texts += [" ".join("".join(rng.choice("aeionrst" + signs) for _ in range(rng.randint(1, 12))) for _ in range(8)) for _ in range(400)]
+    for text in texts:
+        assert np.frombuffer(m.encode(m.sp.normalize(text)), "<u4").tolist() == m.sp.encode(text), text
+    assert "," in m.signs and "▁reatesed" in m.words
+    assert "▁reatesed," not in m.words
+
+
 def test_pieces_equal_the_library_whole_and_in_chunks():
     m = sentencepieces.model()
     rng = np.random.default_rng(6)

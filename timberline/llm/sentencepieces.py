@@ -73,6 +73,10 @@ class Model:
         self.n_fits = 0
         self.starts: dict[str, tuple[list[str], bool]] = {}
         self.words: dict[str, bytes] = {}
+        # signs that no piece has right after a letter: merging never crosses from a letter to one of them
+        follow = {(p[k - 1], p[k]) for p in self.ids for k in range(1, len(p))}
+        letters, after = {a for a, _ in follow if a.isalpha()}, {b for a, b in follow if a.isalpha()}
+        self.letters, self.signs = frozenset(letters), "".join(c for c in ",.;:!?&()\"'*#|/-" if c not in after)
 
     def derivation(self, token: str) -> list[tuple[float, str, str]]:
         """Merging a string alone: before each merge its score and the outer symbols; last, no merge."""
@@ -214,13 +218,20 @@ class Model:
         """``path`` of a whole BPE text: there, one token at most can end at a place."""
         last: list[str | None] = [None] * (len(text) + 1)
         last[0] = ""
-        for at in range(len(text)):
-            before = last[at]
-            if before is None:
+        starts, every = self.starts, self.fits
+        for at, before in enumerate(last):  # filled ahead of the loop
+            if before is None or at == len(text):
                 continue
-            fits = self.fits.get(before, {})
-            for t in self.tokens_at(text, at):
-                if not before or (fits[t] if t in fits else self.stays(before, t)):
+            got = starts.get(text[at:at + 4])
+            tokens = self.tokens_at(text, at) if got is None or got[1] else got[0]
+            if not before:
+                for t in tokens:
+                    last[at + len(t)] = t
+                continue
+            fits = every.get(before, {})
+            for t in tokens:
+                fit = fits.get(t)
+                if fit or fit is None and self.stays(before, t):
                     last[at + len(t)] = t
         out, at = [], len(text)
         while at:
@@ -229,9 +240,13 @@ class Model:
         return out[::-1]
 
     def word(self, word: str) -> bytes:
-        """Ids of a stretch of text between borders that no token reaches over."""
+        """Ids of a stretch of text between borders that no token reaches over. Signs at the end of a word that never
+        merge with a letter are looked up on their own."""
         got = self.words.get(word)
         if got is None:
+            stem = word.rstrip(self.signs)
+            if stem and len(stem) < len(word) and stem[-1] in self.letters:
+                return self.word(stem) + self.word(word[len(stem):])
             got = self.to_ids(self.path(word, (0, ""), len(word)) if self.unigram else self.merged(word))
             if len(word) <= 64:
                 if len(self.words) > 600_000:

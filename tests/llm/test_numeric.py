@@ -281,3 +281,28 @@ def test_ftrl_is_sparse_and_separates():
         assert w[0, 0] > 0 > w[1, 0] and w[1, 1] > 0 > w[0, 1]
         zeros.append((w[:, 2:200] == 0).mean())
     assert zeros[0] < 0.05 and zeros[1] < zeros[2] and zeros[2] > 0.5
+
+
+def test_records_are_unpacked_in_place():
+    """Reading blobs of records takes the memory of the records, not twice that; their order is that of the blobs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    records = np.zeros(200_000, substrings._PIECE)
+    records["owner"], records["start"] = rng.integers(0, 1 << 40, len(records)), np.arange(len(records))
+    blobs = [substrings._pack(r) for r in [*np.array_split(records, 50), records[:0]]]
+    tracemalloc.start()
+    got = substrings._unpack(blobs, substrings._PIECE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, records) and peak < 1.5 * records.nbytes
+    assert len(substrings._unpack([], substrings._PIECE)) == 0
+
+
+def test_forget_drops_the_caches_of_earlier_operators():
+    from timberline.llm import common
+
+    assert common.worker_state("a", lambda: [1]) == [1]
+    common.forget()
+    assert common._kept() == {} and common.worker_state("a", lambda: [2]) == [2]
+    common.forget()

@@ -330,3 +330,30 @@ def test_chunks_of_a_followed_file_hold_every_line_once(tmp_path):
         spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
         got = [t for s in spans for b in reader.read(s) for t in b["text"].to_pylist()]
         assert got == lines
+
+
+def test_json_arrays_are_scanned_without_range_partitions(spark, tmp_path, monkeypatch):
+    """States of array pieces are summed within blocks, then over the blocks of a file: files are read once as lines and once
+    as pieces, and no global order of all pieces is made (it was, nine times over)."""
+    from timberline.operators import ordered
+    from timberline.sources import json_logs
+
+    def never(*_):
+        raise AssertionError("pieces of all files were put in one order")
+
+    monkeypatch.setattr(ordered, "order_cells", never)
+    monkeypatch.setattr(json_logs, "order_cells", never, raising=False)
+    items = [{"a": "x,]" * k, "b": [k, {"c": ","}]} for k in range(300)]
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.json").write_text(__import__("json").dumps(items, indent=1))
+    with_blocks = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in with_blocks}
+    try:
+        for k, v in with_blocks.items():
+            spark.conf.set(k, v)
+        rows = json_logs.json_scan(spark, str(tmp_path)).orderBy("file", "line_number").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r.line_number for r in rows] == [*range(1, 301)] * 2
+    assert [__import__("json").loads(r.text) for r in rows] == items * 2

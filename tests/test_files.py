@@ -357,3 +357,21 @@ def test_json_arrays_are_scanned_without_range_partitions(spark, tmp_path, monke
             spark.conf.set(k, v)
     assert [r.line_number for r in rows] == [*range(1, 301)] * 2
     assert [__import__("json").loads(r.text) for r in rows] == items * 2
+
+
+def test_stream_files_are_written_by_more_than_four_tasks(spark, tmp_path, monkeypatch):
+    """The files of a stream were always four, whatever the number of rows."""
+    import os
+
+    from timberline.plans import files
+
+    monkeypatch.setattr(files, "_once", lambda spark, d, name, write: write(str(tmp_path / name)) or str(tmp_path / name))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        path = files._time_files(spark, "", "rows", spark.range(6000).withColumnRenamed("id", "timestamp"), "timestamp")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 12

@@ -87,3 +87,21 @@ def test_cooldown_suppresses_then_fires_again(spark):
         "severity", F.lit("LOW"))
     fired = alerts.alert_cooldown(alerts.alert_matches(rows, [rule, rule._replace(name="off", enabled=False)]))
     assert sorted((r["second"] - T0).seconds for r in fired.collect()) == [0, 10, 20, 31]
+
+
+def test_scoring_is_dealt_over_the_tasks_asked_for(spark):
+    """After the joins of the rules there were as many tasks as cores, however many rows: one grew with the batch."""
+    from pyspark.sql import functions as F
+
+    from timberline.operators import anomaly
+
+    rows = spark.range(3000).select(
+        F.concat(F.lit("f"), F.col("id") % 3).alias("file"), F.col("id").alias("line_number"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 20).cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("id") % 5 == 0, "ERROR").otherwise("INFO").alias("log_level"),
+        F.concat(F.lit("connection failed "), F.col("id") % 50).alias("message"), F.lit("s").alias("source"),
+        F.lit(None).cast("string").alias("ip_address"), F.lit(None).cast("string").alias("error_code"))
+    plain, dealt = anomaly.rule_engine(rows), anomaly.rule_engine(rows, tasks=37)
+    assert dealt.rdd.getNumPartitions() == 37
+    order = ["file", "line_number"]
+    assert plain.orderBy(order).collect() == dealt.orderBy(order).collect()

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from timberline.llm.common import cut, map_rows, spread
+from timberline.llm.common import cut, forget, map_rows, spread
 from timberline.llm.tokens import encoder
 
 #: pieces that are packed together by one task
@@ -140,6 +140,7 @@ def pack(table: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFram
     keyed = table.withColumn("_group", F.pmod(F.xxhash64(*table.columns), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         lengths = pdf["length"].to_numpy()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         order = np.concatenate([np.array(b) for b in bins])

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timberline.llm.common import map_rows
+from timberline.llm.common import forget, map_rows
 from timberline.llm.features import bounded_sample, letters_only, ngrams
 
 LENGTHS = (5, 6)
@@ -96,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     sample = confirmed.unionByName(others)
 
     def featurise(batches: Iterator[list[list]]) -> Iterator[dict]:
+        forget()
         for draws, sets, texts in batches:
             yield {"draw": draws, "positive": sets,
                    "grams": [grams(t).astype(np.int32).tobytes() for t in texts]}
@@ -103,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     rows = map_rows(sample, ["_draw", "_set", "text"], featurise, "draw bigint, positive int, grams binary")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         pdf = pdf.sort_values(["positive", "draw"])
         x = [np.frombuffer(g, np.int32) for g in pdf["grams"]]
         is_p = pdf["positive"].to_numpy() == 1
@@ -128,6 +130,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str | Column) -> DataFr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         dense = np.zeros(1 << BITS, np.float32)
         if model is not None:
             dense[model.grams] = model.weights

@@ -96,6 +96,28 @@ def test_long_events_across_many_blocks(many_cells):
     assert {r["event_id"] for r in leaders.collect()} == set(_greedy(data).values())
 
 
+def test_events_after_a_guest_too_many_wait_for_it(spark):
+    """Eight guests come before the one that absorbs the later block; they are absorbed where they began."""
+    def event(i, start, end, confidence):
+        at = [T0 + timedelta(seconds=s) for s in (start, end)]
+        return (f"e{i:03}", "t", "d", *at, confidence, "LOW", "a b", 2, "f", i)
+
+    data = [event(0, 0, 60, 0.99), *[event(i, i, 400, 0.98 - i / 100) for i in range(1, 9)], event(9, 200, 1000, 0.8)]
+    data += [event(10, 390, 395, 0.5), *[event(i, 540 + i, 541 + i, 0.6) for i in range(11, 20)],
+             *[event(i, 800 + i, 801 + i, 0.6) for i in range(20, 30)]]
+    leaders = rc.cascade_leaders(spark.createDataFrame(data, EVENTS), block=10)
+    assert {r["event_id"] for r in leaders.collect()} == {"e000", "e009"} == set(_greedy(data).values())
+
+
+def test_many_guests_equal_the_sequential_greedy(many_cells, monkeypatch):
+    monkeypatch.setattr(rc, "_settle_long", lambda *a, f=rc._settle_long: f(*a, guests=1))
+    rng = random.Random(1)
+    data = _events(1, 80)
+    data = [e if e[3] is None else (*e[:4], e[3] + timedelta(seconds=rng.choice([0, 200, 900])), *e[5:]) for e in data]
+    leaders = rc.cascade_leaders(many_cells.createDataFrame(data, EVENTS), block=8)
+    assert {r["event_id"] for r in leaders.collect()} == set(_greedy(data).values())
+
+
 def _reports(spark, items):
     return spark.createDataFrame(
         [("a.log", i + 1, ts, msg, sev, "app", "why") for i, (ts, msg, sev) in enumerate(items)],

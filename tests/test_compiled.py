@@ -68,3 +68,15 @@ def test_texts_are_filled_by_place(spark):
                     t = t.replace("{" + name + "}", value)
                 want.append(t)
             assert got == want
+
+
+def _analysed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_templates_are_cut_off_before_they_are_joined(spark):
+    """The planner puts the expression of a join key together, which for the chain of a template fills the driver."""
+    entries = spark.createDataFrame([("f", i, f"lost {i} of {w}") for i, w in enumerate(["keys", "rows", "jobs"] * 3)], "file string, line_number long, message string")
+    got = templates.assign_templates(entries, top_n=2)
+    assert "regexp_replace" not in _analysed(got)
+    assert sorted(r["template_id"] for r in got.collect()) == [0] * 3 + [1] * 3 + [2] * 3

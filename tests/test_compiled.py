@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
+
 from timberline import constants as K
 from timberline.functions import text as T
-from timberline.operators import anomaly, explain, templates
+from timberline.operators import anomaly, deep, explain, templates
 from timberline.plans import reports as R
 
 from conftest import SF
@@ -80,3 +82,17 @@ def test_templates_are_cut_off_before_they_are_joined(spark):
     got = templates.assign_templates(entries, top_n=2)
     assert "regexp_replace" not in _analysed(got)
     assert sorted(r["template_id"] for r in got.collect()) == [0] * 3 + [1] * 3 + [2] * 3
+
+
+def test_deep_explanations_join_templates_cut_off(spark, monkeypatch):
+    """The rows that are joined by template later are cut before anything is made of them."""
+    class Stop(Exception):
+        pass
+
+    def first_cut(df):
+        assert "Filter" not in _analysed(df)
+        raise Stop
+
+    monkeypatch.setattr(deep, "cut", first_cut)
+    with pytest.raises(Stop):
+        deep.deep_explanations(spark.createDataFrame([("lost 1", True)], "message string, is_anomaly boolean"))

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from conftest import SF
-from timberline.llm import queries, simhash
+from timberline.llm import components, queries, simhash
 from timberline.llm.common import table
 
 
@@ -121,3 +121,15 @@ def test_registered_query_equals_all_pairs(spark):
     expected = [(r.doc_id, f"{f:016x}", docs[o].doc_id) for r, f, o in zip(docs, fps, plain_classes(fps))]
     assert sorted(map(tuple, queries.op13_simhash_near_dedup(spark, SF).collect())) == expected
     assert len({c for _, _, c in expected}) < len(docs)
+
+
+def test_first_round_of_components_joins_no_labels(spark, monkeypatch):
+    """Links are joined with labels in later rounds only; a path, a star and a node alone come out right."""
+    plans = []
+    monkeypatch.setattr(components, "cut", lambda df, f=components.cut: plans.append(df._jdf.queryExecution().analyzed().toString()) or f(df))
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "node bigint")
+    links = [(i, i + 1) for i in range(30)] + [(40, i) for i in range(41, 59)]
+    got = {r["node"]: r["label"] for r in components.components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 if i <= 30 else 40 if 40 <= i < 59 else i for i in range(60)}
+    joins = [p.count("Join") for p in plans[1:]]
+    assert joins[0] == 3 and set(joins[1:]) == {5}

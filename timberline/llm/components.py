@@ -11,20 +11,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Label of every node: the smallest node it is linked to, over any number of links.
 
     ``nodes`` has a column ``node``, ``links`` columns ``a`` and ``b``. Each round takes the smallest label among the
-    neighbours, then the label of that label, so rounds grow with the logarithm of the longest chain. Labels
-    stay in tables; only the number of changes reaches the driver.
+    neighbours, then the label of that label, so rounds grow with the logarithm of the longest chain. In the first round
+    nodes are their own labels, so nothing is joined for it. Labels stay in tables; only whether any has changed
+    reaches the driver.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
+    labels, told = nodes.select("node", F.col("node").alias("label")), both.withColumn("label", F.col("b"))
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("_near")))
+        near = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, "node", "left").select(
             "node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
         new = cut(lower.join(jump, "label", "left").select(
             "node", "_old", F.least("label", "_jump").alias("label")))
-        changed = new.filter("label <> _old").limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        if new.filter("label <> _old").isEmpty():
             return labels
+        told = both.join(labels, both["b"] == labels["node"])
